@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import sql
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.quality_rules import quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("row", "clean_text", "left_chars")
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_rules": op5_quality_rules,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": sql.EXACT_DEDUP,
+    "op5_quality_rules": sql.QUALITY_RULES,
 }
