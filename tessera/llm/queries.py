@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import sql
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.quality_rules import quality_rules
+from tessera.llm.secret_scan import secret_scan
 from tessera.llm.url_filter import url_filter
 
 
@@ -26,9 +27,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
 
