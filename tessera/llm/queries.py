@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import sql
 from tessera.llm.bpe import bpe_digest
@@ -11,6 +12,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.license_scan import license_scan
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import secret_scan
+from tessera.llm.token_store import read_tokens, token_folder, write_tokens
 from tessera.llm.url_filter import url_filter
 
 
@@ -18,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    manifest = write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), token_folder(docs), end_id=2)
+    return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_store": op2_token_store,
     "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
