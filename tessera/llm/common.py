@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _left: list[tuple[SparkSession, str]] = []
@@ -106,3 +106,23 @@ def ascii_lower(text: str) -> str:
 def sql_lower(column: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def totals_before(df: DataFrame, order: str, values: list[str], keys: list[str] | None = None, block: int = 4096) -> DataFrame:
+    """df and, for each of `values`, `before_<value>`: its total over the rows of the same keys with a smaller `order`.
+
+    `order` is a non-negative integer, unique within the keys. Blocks of it are summed first, so no window
+    holds more than `block` rows or one row a block.
+    """
+    keys = keys or []
+    spread = df.withColumn("_block", F.floor(F.col(order) / block))
+    blocks = spread.groupBy(*keys, "_block").agg(*(F.sum(v).alias(f"_sum_{v}") for v in values))
+    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", *(F.coalesce(F.sum(f"_sum_{v}").over(over), F.lit(0)).alias(f"_base_{v}") for v in values))
+    within = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    for v in values:
+        spread = spread.withColumn(f"_own_{v}", F.coalesce(F.sum(v).over(within), F.lit(0)))
+    # keys may be null
+    same = [spread[k].eqNullSafe(blocks[k]) for k in [*keys, "_block"]]
+    joined = spread.join(blocks, [c for c in same])
+    return joined.select(*(spread[c] for c in df.columns), *((F.col(f"_own_{v}") + F.col(f"_base_{v}")).alias(f"before_{v}") for v in values))

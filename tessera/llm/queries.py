@@ -10,6 +10,7 @@ from tessera.llm import sql
 from tessera.llm.bpe import bpe_digest
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.license_scan import license_scan
+from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import secret_scan
 from tessera.llm.token_store import read_tokens, token_folder, write_tokens
@@ -46,6 +47,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
+    "op7_packing": op7_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
