@@ -10,6 +10,7 @@ from tessera.llm import sql
 from tessera.llm.bpe import bpe_digest
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.license_scan import license_scan
+from tessera.llm.ngram_join import ngram_components
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import secret_scan
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     manifest = write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), token_folder(docs), end_id=2)
@@ -57,6 +62,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_store": op2_token_store,
     "op3_license_scan": op3_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
