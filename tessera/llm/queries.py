@@ -12,6 +12,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.license_scan import license_scan
 from tessera.llm.ngram_join import ngram_components
 from tessera.llm.packing import pack
+from tessera.llm.quality_classifier import quality_scores, train_on
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import secret_scan
 from tessera.llm.token_store import read_tokens, token_folder, write_tokens
@@ -57,6 +58,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_scores(docs, train_on(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
