@@ -67,13 +67,13 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
 
     Rows whose hash is not repeated keep their place; only the others are shuffled.
     """
-    names = docs.columns
-    ids = docs.withColumn("_id", F.col(doc_id))
-    seen = with_maybe_repeated(ids.withColumn("_whole", F.coalesce(F.col(text), F.lit(""))), "_whole", max_filter_bytes)
-    seen = seen.withColumn("_sha", F.when(F.col("maybe_repeated"), F.sha2(F.col("_whole"), 256)))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("_id"), whole.alias("_whole"))
+    seen = with_maybe_repeated(rows, "_whole", max_filter_bytes)
+    seen = seen.withColumn("_sha", F.when(F.col("maybe_repeated"), F.sha2("_whole", 256)))
     keys = materialize(seen.filter("maybe_repeated").select("_id", "_sha"), "copies")
     last = keys.groupBy("_sha").agg(F.max(F.struct("_id")).alias("_last")).select(F.col("_sha").alias("_key"), F.col("_last._id").alias("_keep"))
-    alone = seen.filter("NOT maybe_repeated").select(*names)
-    # only a row with the largest id of its group survives the join, so the distinct below sees no large group
+    alone = seen.filter("NOT maybe_repeated").select("row.*")
+    # only rows with the largest id of their group survive the join, so the distinct below sees no large group
     stays = seen.filter("maybe_repeated").join(last, (F.col("_sha") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return alone.unionByName(stays.dropDuplicates(["_sha"]).select(*names))
+    return alone.unionByName(stays.dropDuplicates(["_sha"]).select("row.*"))
