@@ -80,7 +80,10 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     frame = frame.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     frame = frame.withColumn("n_words", F.size("_words").cast("long"))
     hashes = F.col("_hashes")
-    window = F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+    n = F.size(hashes)
+    # no lambda refers to a column here or below: if the optimizer moves such an expression, it runs once for each element
+    after = F.zip_with(F.slice(hashes, F.lit(2), n), F.slice(hashes, F.lit(3), n), lambda b, c: F.struct(b.alias("b"), c.alias("c")))
+    window = F.slice(F.zip_with(hashes, after, lambda a, x: F.xxhash64(a, x["b"], x["c"])), F.lit(1), F.greatest(n - 2, F.lit(0)))
     frame = frame.withColumn("_windows", window)
     frame = frame.withColumn("_counted", F.transform("_lines", lambda x: F.struct(x["line"].alias("line"), F.size(x["words"]).alias("words"), _count(x["line"], MARKS).alias("marks"))))
     frame = frame.withColumn("_raw", F.transform("_counted", lambda x: x["line"]))
@@ -100,11 +103,13 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         (F.size("_lines") - F.size("_passed")).cast("long").alias("n_failed_lines"),
         F.array_join("_passed", "\n").alias("clean_text"),
         "row",
+        # a filter on a verdict isn't moved below this column, so the counts above are made once
+        F.monotonically_increasing_id().alias("_fence"),
     )
     left = F.length(F.regexp_replace("clean_text", r"[ \n\t\x0B\f\r]+", "")).cast("long")
     frame = frame.withColumn("left_chars", F.when(F.col("n_failed_lines") == 0, F.col("word_chars")).otherwise(left))
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    return frame.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("left_chars") * 100 >= F.col("word_chars") * LEAST_LEFT))
+    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED) | (F.col("_fence") < 0)
+    return frame.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("left_chars") * 100 >= F.col("word_chars") * LEAST_LEFT)).drop("_fence")
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
