@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that are stripped, dash variants, blank marks, letters counted as Japanese.
 WHITE = " \t\r\n\f\x0b　"
@@ -19,7 +20,7 @@ THOUSANDS = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"
 DRAWING_CODE = r"^[A-Z]{1,4}-[A-Z0-9]{1,8}(-[A-Z0-9]{1,8})*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
