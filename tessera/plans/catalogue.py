@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import predicates, text
 from tessera.operators import area, cluster, extract, reconcile, scan, spatial
-
+from tessera.plans import layout
 from tessera.plans.adapters import CAPACITY, NAME, ORDER, QTY, boxes, declared, observed
 from tessera.sources import tables
 from tessera.sources.tables import read_table
@@ -574,3 +574,43 @@ def sheet_rows(spark: SparkSession, folder: str) -> DataFrame:
     return tables.sheet_rows(n)
 
 
+@query("SELECT p_partkey, replace(replace(p_type, ' ', '-'), 'A', 'ー') AS shown, '&lt;' || replace(p_name, '\"', '&quot;') || '&gt;&amp;' AS escaped, CASE WHEN p_size >= 26 THEN chr(65 + CAST(floor(p_size / 26) - 1 AS INT)) ELSE '' END || chr(65 + p_size % 26) AS letters FROM part")
+def text_repairs(spark: SparkSession, folder: str) -> DataFrame:
+    p = read_table(spark, folder, "part")
+    dashed = text.unify_dashes(F.replace(F.replace(F.col("p_type"), F.lit(" "), F.lit("—")), F.lit("A"), F.lit("ー")))
+    return p.select("p_partkey", dashed.alias("shown"), text.xml_escape(F.concat(F.lit("<"), F.col("p_name"), F.lit(">&"))).alias("escaped"), text.column_letters(F.col("p_size")).alias("letters"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 2 = 0 AS is_uuid4, ['◯', '✗', '要確認'][n_nationkey % 3 + 1] AS mark, n_nationkey % 4 = 1 AS is_label FROM nation")
+def marks_and_ids(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    shown = F.concat(F.lit("0a1b2c3d-1234-"), F.when(key % 2 == 0, "4").otherwise("1"), F.lit("abc-8def-0123456789ab"))
+    label = F.when(key % 4 == 1, "図面 番号").otherwise("図面")
+    return read_table(spark, folder, "nation").select(key, predicates.is_uuid4(shown).alias("is_uuid4"), reconcile.mark(key % 3).alias("mark"), predicates.is_drawing_label(label).alias("is_label"))
+
+
+def _words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of conversations, a page for each, a line for each turn: 40 pixels high, 20 wide for each word."""
+    turns = read_table(spark, folder, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").cast("double").alias("line"), F.posexplode(F.split("text", " ")).alias("k", "text"))
+    at = F.col("k").cast("double") * 20 + F.when(F.col("k") >= 5, 200).otherwise(0)
+    return turns.select("page", (F.col("line").cast("long") * 100_000 + F.col("k")).alias("ord"), "text", at.alias("cx"), (F.col("line") * 40 + F.col("k") % 2).alias("cy"), (at - 9).alias("x0"), (F.col("line") * 40 - 5).alias("y0"), (at + 9).alias("x1"), (F.col("line") * 40 + 5).alias("y1"))
+
+
+_TURN_WORDS = "SELECT conv_id AS page, turn, string_split(text, ' ') AS w FROM conversations"
+
+
+@query(f"SELECT page, dense_rank() OVER (PARTITION BY page ORDER BY turn) - 1 AS row, len(w) AS n FROM ({_TURN_WORDS})")
+def layout_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.rows_by_mean(_words(spark, folder)).groupBy("page", "row").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""SELECT page, row, part, array_to_string(CASE part WHEN 0 THEN w[1:5] ELSE w[6:] END, '') AS text FROM (SELECT page, dense_rank() OVER (PARTITION BY page ORDER BY turn) - 1 AS row, w, unnest(range(CASE WHEN len(w) > 5 THEN 2 ELSE 1 END)) AS part FROM ({_TURN_WORDS}))"""
+)
+def layout_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.segments(_words(spark, folder)).select("page", "row", "part", "text")
+
+
+@query("SELECT l_orderkey, l_linestatus, string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM (SELECT DISTINCT l_orderkey, l_linestatus, l_returnflag FROM lineitem) GROUP BY ALL")
+def unique_non_blank(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"))
