@@ -509,7 +509,7 @@ def room_area(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, round(sum(CASE WHEN l_returnflag = 'R' THEN -a ELSE a END), 2) AS area_m2, count(*) AS pieces FROM (SELECT l_orderkey, l_returnflag, round(l_quantity * 100 / 1000::DOUBLE * 2.0::DOUBLE, 2) AS a FROM lineitem) GROUP BY l_orderkey"""
+    """SELECT l_orderkey, round(sum(CASE WHEN l_returnflag = 'R' THEN -a ELSE a END), 2) + 0.0 AS area_m2, count(*) AS pieces FROM (SELECT l_orderkey, l_returnflag, round(l_quantity * 100 / 1000::DOUBLE * 2.0::DOUBLE, 2) AS a FROM lineitem) GROUP BY l_orderkey"""
 )
 def composite_area(spark: SparkSession, folder: str) -> DataFrame:
     piece = F.struct((F.col("l_quantity") * 100.0).alias("width_mm"), F.lit(2000.0).alias("depth_mm"), F.when(F.col("l_returnflag") == "R", "subtract").otherwise("add").alias("operation"))
