@@ -107,7 +107,8 @@ PASSAGES = (
 SCORE_BASE = 0.8
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_IN_WORD = np.array([not (b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F) for b in range(256)])
+#: For counting words of texts as they are: those bytes and A-Z, which are lower-cased elsewhere.
+_IN_WORD = np.array([not (b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F) for b in range(256)])
 #: Every rule's match holds one of these, and so does every base phrase.
 GATES = (b"licen", b"cc by", b"cc0", b"cc-by", b"rights", b"copyright", b"permission", b"wtfpl", b"attribution", b"commons", b"public domain", b"redistribut", b"proprietary", b"affero", b"not be ", b"unencumbered", b"warranty", b"bsd", b"compliance", b"mit no", b"creative", b"cannot be")
 
