@@ -11,12 +11,26 @@ from itertools import islice
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Most pieces whose ids a worker keeps; further ones are encoded once for each batch they occur in.
-MAX_KEPT = 400_000
+#: Most pieces whose ids a worker keeps; further ones are encoded once for each run of texts.
+MAX_KEPT = 800_000
+#: Words that the library encodes as one text.
+JOINED = 2_000
+#: Characters of text whose pieces are held at once; a longer text is on its own.
+CHUNK = 1 << 22
 #: Unicode white space, as a character class.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A piece of letters and closing marks, which either pattern always parts between the two.
-_MARKED = re.compile("( ?[A-Za-z]+)([.,;:!?]+)")
+#: Letters that both libraries know, and ASCII marks without the apostrophe, which starts contractions. Either
+#: pattern parts a run of the former from one of the latter, which are pieces of their own if nothing else follows.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+
+
+class _Kept(dict):
+    """Pieces that are kept; others come from the table of the texts at hand."""
+
+    rest: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.rest[piece]
 
 
 class PieceEncoder:
@@ -38,35 +52,57 @@ class PieceEncoder:
         inner = before.get("pretokenizers", [before])
         kinds = [x.get("type") for x in inner]
         names = [x["content"] for x in spec["added_tokens"]]
-        self.pieces, self.whole = None, re.compile("(?!)")
+        self.pieces, self.whole, self.word, self.joint = None, re.compile("(?!)"), re.compile("(?!)"), ""
         if kinds == ["Split", "ByteLevel"] and inner[0].get("behavior") == "Removed" and inner[0].get("invert") and r"[^\s\p{L}\p{N}]+" in inner[0]["pattern"].get("Regex", "") and not any(" " in n or "\n" in n for n in names):
-            self.pieces = re.compile("[^ \n]+")
+            self.pieces = re.compile(rf"[{LETTERS}]++(?![^ \n{MARKS}])|[{MARKS}]++(?![^ \n])|[^ \n]+")
+            self.word, self.joint = re.compile(f"[{LETTERS}]+"), " "
         elif kinds == ["ByteLevel"] and inner[0].get("use_regex") and not inner[0].get("add_prefix_space") and not spec["normalizer"]:
-            self.pieces = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+            self.pieces = re.compile(rf" ?[{LETTERS}]++(?![^{SPACE}{MARKS}])|[{MARKS}]++(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+            self.word = re.compile(f" [{LETTERS}]+")
             self.whole = re.compile("|".join(map(re.escape, names)) or "(?!)")
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Kept()
+
+    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of new pieces. Those that the pattern takes for one word each are encoded many at once."""
+        words = [p for p in pieces if self.word.fullmatch(p)]
+        others = list(pieces.difference(words))
+        found = dict(zip(others, self._library_ids(others)))
+        for start in range(0, len(words), JOINED):
+            own = words[start : start + JOINED]
+            coded = self.library.encode_batch([self.joint.join(own)], add_special_tokens=False)[0]
+            at = np.asarray(coded.word_ids)
+            if len(at) == 0 or at[0] != 0 or at[-1] != len(own) - 1 or (np.diff(at) > 1).any():
+                found.update(zip(own, self._library_ids(own)))
+                continue
+            cuts = (np.searchsorted(at, np.arange(len(own) + 1)) * self.dtype.itemsize).tolist()
+            ids = np.asarray(coded.ids, self.dtype).tobytes()
+            found.update((w, ids[i:j]) for w, i, j in zip(own, cuts, cuts[1:]))
+        return found
 
     def _library_ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
+        found, start = [], 0
+        while start < len(texts):
+            end, size = start + 1, len(texts[start])
+            while end < len(texts) and size + len(texts[end]) <= CHUNK:
+                size += len(texts[end])
+                end += 1
+            found += self._encode_chunk(texts[start:end])
+            start = end
+        return found
+
+    def _encode_chunk(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.pieces is None or self.whole.search(t) else self.pieces.findall(t) for t in texts]
         kept = self.kept
-        new = {p for pieces in cut if pieces for p in pieces if p not in kept}
-        marked = {p: m.groups() for p in new if (m := _MARKED.fullmatch(p))}
-        bare = {p for p in new if p not in marked} | {x for own in marked.values() for x in own if x not in kept}
-        fresh = dict(zip(bare, self._library_ids(list(bare))))
-        for piece, (word, mark) in marked.items():
-            fresh[piece] = (fresh.get(word) or kept[word]) + (fresh.get(mark) or kept[mark])
-        room = MAX_KEPT - len(kept)
-        if len(fresh) <= room:
-            kept.update(fresh)
-            get = kept.__getitem__
-        else:
-            kept.update(islice(fresh.items(), max(0, room)))
-            get = lambda p: kept[p] if p in kept else fresh[p]
+        new = set().union(*filter(None, cut)).difference(kept)
+        fresh = self._fresh(new)
+        kept.update(islice(fresh.items(), max(0, MAX_KEPT - len(kept))))
+        kept.rest = fresh
+        get = kept.__getitem__
         return [self._library_ids([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
 
 
