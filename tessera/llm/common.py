@@ -5,8 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,15 +71,6 @@ def lookup(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) ->
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def over_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
-
-
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a string column, null as empty."""
     return [x or "" for x in column.to_pylist()]

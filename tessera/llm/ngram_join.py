@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize, plan_bytes, utf8_of
+from tessera.llm.common import lookup, materialize, utf8_of
 from tessera.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -34,10 +35,13 @@ PERCENT, PERCENT_OF = 80, 100
 COMMON, MAX_COMMON = 8, 1_000_000
 #: Shingles that one task counts or matches, and shingles or documents of a block in one slice.
 TASK_SHINGLES = 4_000_000
-POSTINGS, BUNDLE_SHINGLES = 1_000_000, 1_000_000
-SLICE_SHINGLES, SLICE_DOCS = 3_000_000, 8_000
+BYTES_PER_SHINGLE = 6
+POSTINGS, BUNDLE_SHINGLES = 300_000, 400_000
+SLICE_SHINGLES, SLICE_DOCS = 1_000_000, 8_000
 #: Bytes of text that are shingled at once; a longer text is on its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Documents whose overlaps one step of the walk changes, with repeats.
+STEP = 200_000
 #: Most rows of three numbers that are broadcast.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -113,11 +117,12 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WOR
 
 def sets_of(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, hashes, row numbers from the first) of runs of rows with CHUNK_BYTES of text."""
-    flat, offsets = utf8_of(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < len(column):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, "right")) - 1)
-        h, doc = shingle_sets(flat[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start], words)
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, "right")))
+        h, doc = shingle_sets(*utf8_of(column[start:end]), words)
         yield start, end, h, doc
         start = end
 
@@ -301,7 +306,7 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
     if g < 2:
         return []
     every = np.concatenate(sets)
-    owner = np.repeat(np.arange(g), n)
+    owner = np.repeat(np.arange(g, dtype=np.int32), n)
     _, token, counts = np.unique(every, return_inverse=True, return_counts=True)
     shared = counts[token] > 1  # a shingle of one set adds to no overlap
     # in the block the most frequent come first, so that sets share long paths
@@ -314,7 +319,7 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
     by = np.lexsort((token, owner))
     ends = np.searchsorted(owner[by], np.arange(g + 1))
     ordered = [token[by][ends[i] : ends[i + 1]] for i in range(g)]
-    rank = sorted(range(g), key=lambda i: ordered[i].tolist())
+    rank = sorted(range(g), key=lambda i: ordered[i].astype(">u4").tobytes())
     common = [0] * g  # how many first shingles a set shares with the one before it in this order
     for k in range(1, g):
         a, b = ordered[rank[k - 1]], ordered[rank[k]]
@@ -327,8 +332,15 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
 
     def step(tokens: np.ndarray, sign: int) -> None:
         low, count = bounds[tokens], bounds[tokens + 1] - bounds[tokens]
-        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        overlap[:] += sign * np.bincount(holders[at], minlength=g)
+        total = np.cumsum(count)
+        start = 0
+        while start < len(tokens):  # as many tokens at once as STEP holders allow
+            done = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, done + STEP, "right")))
+            own = count[start:end]
+            at = np.repeat(low[start:end] - (total[start:end] - own - done), own) + np.arange(int(own.sum()))
+            overlap[:] += sign * np.bincount(holders[at], minlength=g)
+            start = end
 
     for k, i in enumerate(rank):
         path, at = ordered[i], min(len(walked), common[k])
@@ -365,7 +377,8 @@ def ngram_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     gives an empty one. Shingles are compared by 64-bit hash.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    buckets = max(4, plan_bytes(docs) // (4 * TASK_SHINGLES))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4, size // (BYTES_PER_SHINGLE * TASK_SHINGLES))
     scanned = materialize(_scan(own, buckets, words), "ngram-scan")
     sized = scanned.filter("bucket IS NULL").select("doc_id", "n", "s1", "s2")
     common = materialize(_common_slots(scanned.filter("bucket IS NOT NULL").select("bucket", "packed")), "ngram-common")
@@ -450,3 +463,11 @@ def _slice_pairs(members: DataFrame, percent: int) -> DataFrame:
     as_left = sliced.join(pairs, (sliced["component"] == pairs["component"]) & (F.col("slice") == F.col("i"))).select("node", pairs["component"], pairs["component"].alias("bundle"), "i", "j", F.lit(True).alias("left"))
     as_right = sliced.join(pairs.filter("i <> j"), (sliced["component"] == pairs["component"]) & (F.col("slice") == F.col("j"))).select("node", pairs["component"], pairs["component"].alias("bundle"), "i", "j", F.lit(False).alias("left"))
     return as_left.unionByName(as_right)
+
+
+def drop_near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the smallest of its component, or null."""
+    found = ngram_components(docs, words, percent, doc_id, text)
+    gone = materialize(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
+    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
