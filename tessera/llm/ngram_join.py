@@ -34,7 +34,7 @@ PERCENT, PERCENT_OF = 80, 100
 #: put in order by count; they only order shingles, so the bound on this broadcast changes no result.
 COMMON, MAX_COMMON = 8, 1_000_000
 #: Shingles that one task counts or matches, and shingles or documents of a block in one slice.
-TASK_SHINGLES = 4_000_000
+TASK_SHINGLES = 2_000_000
 BYTES_PER_SHINGLE = 6
 POSTINGS, BUNDLE_SHINGLES = 300_000, 400_000
 SLICE_SHINGLES, SLICE_DOCS = 1_000_000, 8_000
@@ -215,29 +215,29 @@ class _Order:
 
 
 def _postings(docs: DataFrame, order, buckets: int, words: int, percent: int) -> DataFrame:
-    """Packed (shingle, size, doc_id) of the prefixes, by bucket. Of equal sets in one task only the first counts."""
+    """Packed (shingle, size, doc_id, number of common shingles in the prefix) of the prefixes, by bucket. Of equal sets in one task only the first counts."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen, held, size = order.value, set(), [], 0
 
         def packed() -> pa.RecordBatch:
             nonlocal size
-            h, n, d = (np.concatenate(x) for x in zip(*held))
+            h, n, d, c = (np.concatenate(x) for x in zip(*held))
             held.clear()
             size = 0
             by = np.argsort(h, kind="stable")
-            h, n, d = h[by], n[by], d[by]
+            h, n, d, c = h[by], n[by], d[by], c[by]
             ids, place = np.unique(d, return_inverse=True)
-            sizes = np.zeros(len(ids), np.int64)
-            sizes[place] = n
+            sizes, common = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            sizes[place], common[place] = n, c
             cuts = np.searchsorted(_bucket_of(_slot(h), buckets), np.arange(buckets + 1))
             pack = zstandard.ZstdCompressor(level=1).compress
             rows = []
             for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
                 if j > i:
                     own, at = np.unique(place[i:j], return_inverse=True)
-                    rows.append((b, h[i:j].tobytes(), pack(at.astype("<u4").tobytes()), pack(np.diff(ids[own], prepend=0).astype("<i8").tobytes()), pack(sizes[own].astype("<i8").tobytes())))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] + [pa.binary()] * 4)], names=names)
+                    rows.append((b, h[i:j].tobytes(), pack(at.astype("<u4").tobytes()), pack(np.diff(ids[own], prepend=0).astype("<i8").tobytes()), pack(sizes[own].astype("<i8").tobytes()), pack(common[own].astype("<i8").tobytes())))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] + [pa.binary()] * 5)], names=names)
 
         for batch in batches:
             for i, j, h, doc in sets_of(batch.column(1), words):
@@ -248,26 +248,33 @@ def _postings(docs: DataFrame, order, buckets: int, words: int, percent: int) ->
                     if n[k] and key not in seen:
                         fresh[k] = True
                         seen.add(key)
-                by = np.lexsort((h, rank.count(h), doc))
+                counts = rank.count(h)
+                by = np.lexsort((h, counts, doc))
                 place = np.arange(len(h)) - ends[doc]
-                keep = fresh[doc] & (place < _prefix_length(n, percent)[doc])
+                first = place < _prefix_length(n, percent)[doc]
+                common = np.bincount(doc[first & (counts[by] > 0)], minlength=j - i)
+                keep = fresh[doc] & first
                 ids = batch.column(0)[i:j].to_numpy(zero_copy_only=False)
-                held.append((h[by][keep], n[doc][keep], ids[doc][keep]))
+                held.append((h[by][keep], n[doc][keep], ids[doc][keep], common[doc][keep]))
                 size += len(held[-1][0])
                 if size >= POSTINGS:
                     yield packed()
         if size:
             yield packed()
 
-    names = ["bucket", "h", "at", "ids", "sizes"]
-    return docs.mapInArrow(post, "bucket long, h binary, at binary, ids binary, sizes binary")
+    names = ["bucket", "h", "at", "ids", "sizes", "common"]
+    return docs.mapInArrow(post, "bucket long, h binary, at binary, ids binary, sizes binary, common binary")
 
 
-def _meetings(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each shingle in prefixes, its documents in order of size, each with the first of its run.
+def _meetings(postings: DataFrame, percent: int, common: int) -> DataFrame:
+    """(a, b) of documents that may be linked, directly or through others.
 
-    A run ends where the next size is too large for a link, so documents of different runs aren't linked
-    through this shingle.
+    A shingle in fewer than `common` prefixes gives all pairs of its documents, of which each is one shared
+    prefix shingle. Linked sets share more than their prefixes must: what lies beyond the shorter-reaching prefix can add
+    no more than its rest, so the prefixes share at least the wanted overlap less the larger rest. Shingles of more
+    prefixes are common ones, counted for each set, and may all be shared. Pairs that can't reach this are out.
+    A common shingle gives each document with the first of its run: documents in order of size, a run ending
+    where the next size is too large for a link.
     """
 
     def meet(table: pa.Table) -> pa.Table:
@@ -275,23 +282,43 @@ def _meetings(postings: DataFrame, percent: int) -> DataFrame:
         parts = []
         for row in table.to_pylist():
             at = np.frombuffer(take(row["at"]), "<u4")
-            ids, sizes = np.cumsum(np.frombuffer(take(row["ids"]), "<i8")), np.frombuffer(take(row["sizes"]), "<i8")
-            parts.append((np.frombuffer(row["h"], np.uint64), ids[at], sizes[at]))
-        h, d, n = (np.concatenate(x) for x in zip(*parts))
+            ids, sizes, own = np.cumsum(np.frombuffer(take(row["ids"]), "<i8")), np.frombuffer(take(row["sizes"]), "<i8"), np.frombuffer(take(row["common"]), "<i8")
+            parts.append((np.frombuffer(row["h"], np.uint64), ids[at], sizes[at], own[at]))
+        h, d, n, c = (np.concatenate(x) for x in zip(*parts))
         by = np.argsort(h, kind="stable")
-        h, d, n = h[by], d[by], n[by]
+        h, d, n, c = h[by], d[by], n[by], c[by]
         same = h[1:] == h[:-1]
         several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        h, d, n = h[several], d[several], n[several]
+        h, d, n, c = h[several], d[several], n[several], c[several]
         by = np.lexsort((d, n, h))
-        h, d, n = h[by], d[by], n[by]
-        starts = np.ones(len(h), bool)
-        starts[1:] = (h[1:] != h[:-1]) | (PERCENT_OF * n[:-1] < percent * n[1:])
-        first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0))
-        pairs = np.unique(np.stack([d[first], d])[:, d[first] != d], axis=1) if len(h) else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0].astype(np.int64)), "b": pa.array(pairs[1].astype(np.int64))})
-
-    return postings.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+        h, d, n, c = h[by], d[by], n[by], c[by]
+        lists = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        place = np.cumsum(lists) - 1
+        large = np.bincount(place)[place] >= common if len(h) else lists
+        runs = lists.copy()
+        runs[1:] |= PERCENT_OF * n[:-1] < percent * n[1:]
+        first = np.maximum.accumulate(np.where(runs, np.arange(len(h)), 0))
+        i, j = first[large], np.flatnonzero(large)
+        found = [(d[i], d[j], np.zeros(len(i), np.int64))]
+        for step in range(1, common):
+            i = np.flatnonzero(~large[: len(h) - step] & (h[: len(h) - step] == h[step:]) & (PERCENT_OF * n[: len(h) - step] >= percent * n[step:])) if step < len(h) else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            j = i + step
+            rest = np.maximum(n[i] - _prefix_length(n[i], percent), n[j] - _prefix_length(n[j], percent))
+            need = -(-percent * (n[i] + n[j]) // (PERCENT_OF + percent))
+            found.append((d[i], d[j], need - rest - np.minimum(c[i], c[j])))
+        a, b, wanted = (np.concatenate(x) for x in zip(*found))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        a, b, wanted = a[a != b], b[a != b], wanted[a != b]
+        by = np.lexsort((wanted, b, a))
+        a, b, wanted = a[by], b[by], wanted[by]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        shared = np.diff(np.append(new, len(a)))
+        return pa.table({"a": pa.array(a[new].astype(np.int64)), "b": pa.array(b[new].astype(np.int64)), "shared": pa.array(shared.astype(np.int64)), "wanted": pa.array(wanted[new].astype(np.int64))})
+
+    met = postings.groupBy("bucket").applyInArrow(meet, "a long, b long, shared long, wanted long")
+    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("wanted").alias("wanted")).filter("shared >= wanted").select("a", "b")
 
 
 def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None = None) -> list[tuple[int, int]]:
@@ -387,7 +414,7 @@ def ngram_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
         least *= 2
     rows = common.filter(F.col("count") >= least).toArrow().to_pandas().sort_values("slot")
     order = docs.sparkSession.sparkContext.broadcast(_Order(rows["slot"].to_numpy().astype(np.uint32), rows["count"].to_numpy().astype(np.int64)))
-    meetings = materialize(_meetings(_postings(own.filter("doc_id IS NOT NULL"), order, buckets, words, percent), percent), "ngram-meetings")
+    meetings = materialize(_meetings(_postings(own.filter("doc_id IS NOT NULL"), order, buckets, words, percent), percent, least), "ngram-meetings")
 
     # one row for each different set that a document has; its smallest doc_id stands for all
     filled = sized.filter("n > 0 AND doc_id IS NOT NULL").withColumn("key", F.struct("s1", "s2", "n"))
