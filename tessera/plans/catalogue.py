@@ -269,8 +269,7 @@ def maker_model_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, lower(replace(trim(substr(text, 1, strpos(text || chr(10), chr(10)) - 1), ' '), ' ', '')) AS key FROM documents")
 def compact_text(spark: SparkSession, folder: str) -> DataFrame:
-    first = F.split(F.col("text"), "\n")[0]
-    return read_table(spark, folder, "documents").select("doc_id", text.compare_key(first, False).alias("key"))
+    return read_table(spark, folder, "documents").select("doc_id", text.compare_key(F.col("text")).alias("key"))
 
 
 _CELLS = {
