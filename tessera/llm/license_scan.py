@@ -30,7 +30,7 @@ NAMES = (
     ("gpl", r"gnu general public license", "general"),
     ("gfdl", r"gnu free documentation license", "documentation"),
     ("apache", r"apache (?:software )?license", "apache"),
-    ("mit", r"(?:the )?mit license", "mit"),
+    ("mit", r"(?:the )?mit(?: x11)? license", "mit"),
     ("mit-0", r"mit no attribution(?: license)?", "attribution"),
     ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd"),
     ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: license)?", "bsd"),
@@ -81,10 +81,64 @@ NAMES = (
     ("w3c", r"w3c (?:software )?(?:notice and )?license", "w3c"),
     ("x11", r"x11 license", "x11"),
 )
+#: SPDX ids of the labels as words, without their versions. `edl` and `public-domain` have none.
+IDS = {
+    "agpl": r"agpl", "lgpl": r"lgpl", "gpl": r"gpl", "gfdl": r"gfdl", "apache": r"apache", "mit": r"mit(?! 0 )", "mit-0": r"mit 0",
+    "bsd-2-clause": r"bsd 2 clause", "bsd-3-clause": r"bsd 3 clause", "bsd-4-clause": r"bsd 4 clause", "bsd": r"(?:0bsd|bsd(?: 1 clause)?(?! [234] clause))",
+    "isc": r"isc", "mpl": r"mpl", "epl": r"epl", "cddl": r"cddl", "cpl": r"cpl", "ipl": r"ipl", "eupl": r"eupl", "cecill": r"cecill(?: [abc])?", "artistic": r"artistic",
+    "zlib": r"zlib", "libpng": r"libpng", "boost": r"bsl", "unlicense": r"unlicense", "wtfpl": r"wtfpl", "cc0": r"cc0", "cc-by-nc-nd": r"cc by nc nd", "cc-by-nc-sa": r"cc by nc sa",
+    "cc-by-nc": r"cc by nc", "cc-by-nd": r"cc by nd", "cc-by-sa": r"cc by sa", "ofl": r"ofl", "odbl": r"odbl", "odc-by": r"odc by", "pddl": r"pddl", "python": r"(?:psf|python)", "php": r"php",
+    "ruby": r"ruby", "openssl": r"openssl", "postgresql": r"postgresql", "ncsa": r"ncsa", "upl": r"upl", "ms-pl": r"ms pl", "ms-rl": r"ms rl", "apsl": r"apsl", "osl": r"osl", "afl": r"afl",
+    "bsl": r"busl", "sspl": r"sspl", "elastic": r"elastic", "vim": r"vim", "w3c": r"w3c", "x11": r"x11",
+}
+#: Abbreviations. Label, regex, keyword, and the kinds of SHORT_FORMS in which it names a license.
+SHORTS = (
+    ("agpl", r"(?:gnu )?(?:agpl|affero gpl)", "gpl", "grant licensed versioned bare"),
+    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) gpl)", "gpl", "grant licensed versioned bare"),
+    ("gpl", r"(?:gnu )?gpl", "gpl", "grant licensed versioned bare"),
+    ("gfdl", r"(?:gnu )?(?:gfdl|fdl)", "fdl", "grant licensed versioned"),
+    ("apache", r"apache", "apache", "grant licensed"),
+    ("apache", r"(?:apache (?:version |v)?2 0|asl (?:version |v)?2(?: 0)?|apl (?:version |v)?2 0)(?! \d)", "2", "bare"),
+    ("mit", r"(?:mit(?: x11)?|expat)(?! no attribution)", "", "grant licensed"),
+    ("bsd", r"bsd", "bsd", "grant licensed"),
+    ("isc", r"isc", "isc", "grant"),
+    ("zlib", r"zlib", "zlib", "grant licensed"),
+    ("boost", r"boost", "boost", "grant licensed"),
+    ("mpl", r"mpl", "mpl", "grant licensed versioned"),
+    ("epl", r"epl", "epl", "grant licensed versioned"),
+    ("cddl", r"cddl", "cddl", "grant licensed versioned bare"),
+    ("cpl", r"cpl", "cpl", "grant licensed versioned"),
+    ("eupl", r"eupl", "eupl", "grant licensed versioned bare"),
+    ("ofl", r"(?:sil )?ofl", "ofl", "grant licensed versioned"),
+    ("odbl", r"odbl", "odbl", "grant licensed versioned bare"),
+    ("pddl", r"pddl", "pddl", "grant licensed"),
+    ("ncsa", r"ncsa", "ncsa", "grant licensed"),
+    ("upl", r"upl", "upl", "grant licensed"),
+    ("ms-pl", r"ms pl", "ms pl", "grant licensed bare"),
+    ("ms-rl", r"ms rl", "ms rl", "grant licensed bare"),
+    ("apsl", r"apsl", "apsl", "grant licensed versioned"),
+    ("osl", r"osl", "osl", "grant licensed versioned"),
+    ("afl", r"afl", "afl", "grant licensed versioned"),
+    ("bsl", r"busl", "busl", "grant licensed versioned"),
+    ("sspl", r"sspl", "sspl", "grant licensed versioned bare"),
+    ("cecill", r"cecill(?: [abc])?", "cecill", "grant versioned"),
+)
+_VERSION = r"(?: (?:version |v)?|v?)\d{1,2}(?: \d{1,2})*(?: only| or (?:any )?later(?: version)?)?"
+#: Kind: regex around an abbreviation ({}), priority, certainty.
+SHORT_FORMS = {
+    "grant": (r"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?{}(?:" + _VERSION.replace("{", "{{").replace("}", "}}") + ")?", 4, 1.0),
+    "versioned": ("{}" + _VERSION.replace("{", "{{").replace("}", "}}"), 3, 0.9),
+    "licensed": ("{}(?:" + _VERSION.replace("{", "{{").replace("}", "}}") + r")?(?: style)? licen[cs]e?d?", 2, 0.8),
+    "bare": ("{}", 2, 0.6),
+}
+_ID_VERSION = r"(?: v?\d+(?: \d+)*)?(?: only| or later)?"
+_OPERANDS = r"(?:(?:" + "|".join([*IDS.values(), r"cc by(?: (?:nc|nd|sa))*"]) + f"){_ID_VERSION}" + r"(?: with(?: [^ ]+){1,6}? exception(?: \d+)*)? (?:or|and) )+"
 #: Kind, regex around a name ({}), priority, certainty. The kinds times the names give the rules.
 FORMS = (
     ("grant", r"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?{}(?: version)?(?: v?\d+(?: \d+)*)?", 4, 1.0),
-    ("identifier", r"spdx license identifier {}(?: v?\d+(?: \d+)*)?", 4, 1.0),
+    ("identifier", r"spdx license identifier {}" + _ID_VERSION, 4, 1.0),
+    # what follows `or` and `and` in an identifier's expression; only the operand itself counts as matched
+    ("operand", r"spdx license identifier " + _OPERANDS.replace("{", "{{").replace("}", "}}") + "(?P<own>{}" + _ID_VERSION + ")", 4, 1.0),
     ("versioned", r"{} (?:version |v)?\d+(?: \d+)*(?: or (?:any )?later)?", 3, 0.9),
     ("named", r"{}", 2, 0.8),
 )
@@ -125,7 +179,14 @@ class Rule:
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first, in the given order within one."""
-    own = [Rule(label, key.encode(), _compiled(form.format(f"(?:{name})")), priority, certainty) for _, form, priority, certainty in FORMS for label, name, key in NAMES]
+    own = []
+    for kind, form, priority, certainty in FORMS:
+        for label, name, key in NAMES:
+            if kind in ("identifier", "operand"):
+                key, name = "spdx", f"{IDS[label]}|{name}" if label in IDS else name
+            own.append(Rule(label, key.encode(), _compiled(form.format(f"(?:{name})")), priority, certainty))
+    for kind, (form, priority, certainty) in SHORT_FORMS.items():
+        own += [Rule(label, key.encode(), _compiled(form.format(f"(?:{short})")), priority, certainty) for label, short, key, kinds in SHORTS if kind in kinds.split()]
     own += [Rule(label, key.encode(), _compiled(regex), priority, certainty) for label, regex, key, priority, certainty in PASSAGES]
     return tuple(sorted(own, key=lambda r: -r.priority))
 
@@ -153,8 +214,9 @@ def detect(joined: bytes) -> list[tuple[int, int, Rule]]:
         if rule.keyword and rule.keyword not in joined:
             continue
         for m in rule.pattern.finditer(joined):
-            start = joined.count(b" ", 0, m.start()) - 1
-            end = start + m[0].count(b" ") + 1
+            first = m.start("own") if "own" in rule.pattern.groupindex else m.start()
+            start = joined.count(b" ", 0, first) - 1
+            end = start + joined.count(b" ", first, m.end()) + 1
             if not any(s <= start and end <= e for s, e, _ in kept):
                 kept.append((start, end, rule))
     return sorted(kept, key=lambda x: (x[0], x[1], x[2].label))
@@ -169,7 +231,11 @@ def scan_words(lowered: bytes) -> tuple[list[tuple[int, str]], list[tuple[int, i
 
 def _gate() -> re.Pattern:
     # words are matched whatever stands between them, so a blank in a gate stands for any separators
-    return re.compile(b"|".join(re.escape(g).replace(rb"\ ", rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+") for g in GATES))
+    named = "|".join(re.escape(g.decode()) for g in GATES).replace(r"\ ", " ")
+    # an abbreviation counts after `under`, or with a version or on its own if its kinds say so
+    under = "under (?:the )?(?:terms of (?:the )?)?(?:" + "|".join(short for _, short, _, kinds in SHORTS if "grant" in kinds) + ")"
+    alone = "|".join(short.removeprefix("(?:gnu )?").removeprefix("(?:sil )?") for _, short, _, kinds in SHORTS if "versioned" in kinds or "bare" in kinds)
+    return re.compile(f"{named}|{under}|(?:{alone})(?![a-uw-z\x80-\xff])".replace(" ", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+").encode("latin-1"))
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
