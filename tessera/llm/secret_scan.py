@@ -2,11 +2,13 @@
 
 The automaton starts as the prefix tree of the labelled credentials. States whose outgoing and ending
 frequencies agree by the Hoeffding bound are merged, children with them, which leaves a small automaton
-with loops. Every candidate string of a text is then scored by its likelihood under the automaton.
+with loops. Every run of credential characters is then scored: its likelihood under the automaton against that
+under a background model of plain words, names and paths. No other filter decides.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -14,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +31,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGNED = 12
 
-#: Strings that are scored: runs of these characters with a digit, CANDIDATE_LENGTH or longer.
-_CANDIDATE = re.compile(r"[A-Za-z0-9_-]{20,}")
+#: Strings that are scored: parts of runs of these characters, CANDIDATE_LENGTH or longer, that begin and end with a letter or digit.
+_CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.-]{20,}")
 CANDIDATE_LENGTH = 20
-_RUNS = bytes(ord("x") if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "_-") else 32 for i in range(256))
+SEPARATORS = "_-+/=."
+_PREFIXED = re.compile(r"[A-Za-z0-9_-]{20,}")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_RUNS = bytes(ord("x") if chr(i).isascii() and (chr(i).isalnum() or chr(i) in SEPARATORS) else 32 for i in range(256))
 _HEX_RUNS = bytes(ord("x") if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -51,10 +57,17 @@ FORMATS = (
     ("xoxb-", DIGIT + "-", 24),
     ("dop_v1_", DIGIT + "abcdef", 64),
     ("", UPPER + LOWER + DIGIT, 40),
+    ("", UPPER + LOWER + DIGIT + "+/", 40),
 )
 EXAMPLES, SEED = 60, 11
-#: A candidate without a known prefix has so many upper, lower case and digit characters each.
-LEAST_OF_CLASS = 4
+#: A candidate counts if the automaton makes it so many times (as a logarithm) likelier than the background does.
+LEAST_RATIO = 5.0
+#: Logarithm of a symbol that a state of the automaton never read.
+UNSEEN = -7.0
+_CLASS_SIZES = {"U": 26, "L": 26, "D": 10}
+#: Plain strings that the background is trained on, and the shares of its parts: three characters, two, one, a repeat or successor of the last.
+PLAIN_TOKENS, PLAIN_SHARES = 60_000, (0.7, 0.17, 0.06, 0.07)
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Confidence of the merging test, and the share of labelled credentials that may score below the threshold.
 ALPHA, MISSED = 0.05, 0.01
 
@@ -65,10 +78,77 @@ def labelled_credentials(formats=FORMATS, examples: int = EXAMPLES, seed: int =
     return [prefix + "".join(draw.choices(alphabet, k=length)) for prefix, alphabet, length in formats for _ in range(examples)]
 
 
+def plain_tokens(seed: int = SEED, count: int = PLAIN_TOKENS) -> list[str]:
+    """Names, paths and numbers as they stand in plain text: words of public vocabularies, joined and cased by a seeded generator."""
+    draw = random.Random(seed)
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        known = {base64.b64decode(line.split()[0]).strip().lower() for line in lines if line.strip()}
+    words = sorted(w.decode() for w in known if re.fullmatch(rb"[a-z]{2,}", w))
+    cases = (str, str, str, str.title, str.upper)
+    numbers = (lambda: str(draw.randrange(1900, 2100)), lambda: str(draw.randrange(100)), lambda: str(draw.randrange(10**6)), lambda: f"{draw.randrange(1990, 2040)}-{draw.randrange(1, 13):02}-{draw.randrange(1, 32):02}", lambda: str(draw.randrange(10**12)))
+    found = []
+    for _ in range(count):
+        joint, case = draw.choice(("", "", "-", "-", "_", "_", "/", "/", ".", "+", "=", "camel")), draw.choice(cases)
+        parts = [draw.choice(numbers)() if draw.random() < 0.15 else draw.choice(words) for _ in range(draw.randrange(2, 6))]
+        parts = [parts[0], *map(str.title, parts[1:])] if joint == "camel" else list(map(case, parts))
+        found.append(joint.replace("camel", "").join(parts))
+    return found
+
+
+class Background:
+    """How likely plain text makes a character after the two before it; digits are alike, and case follows the last character's."""
+
+    SYMBOLS = LOWER + "0" + SEPARATORS
+
+    def __init__(self, tokens: list[str]):
+        n = len(self.SYMBOLS) + 1  # 0 is what stands before a token
+        self.places = {c: self.SYMBOLS.index("0" if c in DIGIT else c.lower()) + 1 for c in UPPER + LOWER + DIGIT + SEPARATORS}
+        one, two, three = [1] * n, [1] * n**2, [0] * n**3
+        cases = [[1, 1] for _ in range(3)]
+        for token in tokens:
+            a = b = 0
+            before = ""
+            for x in token:
+                c = self.places[x]
+                one[c] += 1
+                two[b * n + c] += 1
+                three[(a * n + b) * n + c] += 1
+                if x.isalpha():
+                    cases[self._case(before)][x.isupper()] += 1
+                a, b, before = b, c, x
+        one[0] = 0
+        sums = [sum(two[b * n : b * n + n]) for b in range(n)]
+        whole, self.size, self.logs = sum(one), n, []
+        for at in range(n * n):
+            b, seen = at % n, sum(three[at * n : at * n + n])
+            shares = PLAIN_SHARES
+            for c in range(n):
+                p2 = shares[1] * two[b * n + c] / sums[b] + shares[2] * one[c] / whole
+                p3 = shares[0] * three[at * n + c] / seen if seen else p2 * shares[0] / (shares[1] + shares[2])
+                self.logs.append(math.log(p2 + p3 + shares[3] / 2 * (c == b) + shares[3] / 2 * (c == b + 1) + 1e-6) - math.log(10) * (c == self.places["0"]))
+        self.case_logs = [[math.log(x / sum(row)) for x in row] for row in cases]
+
+    @staticmethod
+    def _case(before: str) -> int:
+        return 2 if before.isupper() else 1 if before.islower() else 0
+
+    def each(self, text: str) -> list[float]:
+        """Logarithms of the likelihoods of a text's characters."""
+        found, a, b, before = [], 0, 0, ""
+        for x in text:
+            c = self.places[x]
+            found.append(self.logs[(a * self.size + b) * self.size + c] + (self.case_logs[self._case(before)][x.isupper()] if x.isalpha() else 0.0))
+            a, b, before = b, c, x
+        for m in _UUID.finditer(text):
+            found[m.start() : m.end()] = [max(p, -math.log(16)) for p in found[m.start() : m.end()]]
+        return found
+
+
 class Automaton:
     """A probabilistic deterministic automaton over character classes, after a learned literal prefix."""
 
-    def __init__(self, examples: list[str], prefixes: tuple[str, ...], alpha: float = ALPHA):
+    def __init__(self, examples: list[str], prefixes: tuple[str, ...], alpha: float = ALPHA, background: Background | None = None):
+        self.background = background or Background(plain_tokens())
         self.prefixes = tuple(sorted({p for p in prefixes if p}, key=lambda p: (-len(p), p)))
         self.total, self.ends, self.moves = [0], [0], [{}]
         for text in sorted(examples):
@@ -161,6 +241,64 @@ class Automaton:
         return math.exp((total + math.log(self.ends[at] / self.total[at])) / (len(symbols) + 1))
 
 
+    def ratios(self, run: str) -> list[tuple[int, int, float]]:
+        """(start, end, log likelihood ratio) of a run's pieces, which are letters and digits, a known prefix or what separates them."""
+        plain, found, at, state = self.background.each(run), [], 0, self.moves[0][""][0] if "" in self.moves[0] else 0
+        first = state
+        while at < len(run):
+            prefix = next((p for p in self.prefixes if run.startswith(p, at) and p in self.moves[0]), "")
+            if prefix:
+                state, count = self.moves[0][prefix]
+                found.append((at, at + len(prefix), math.log(count / self.total[0]) - sum(plain[at : at + len(prefix)])))
+                at += len(prefix)
+            piece = _PIECE.match(run, at)
+            end = piece.end() if piece else at + (at < len(run))
+            ratio = 0.0
+            for k in range(at, end):
+                symbol = self.symbols(run[k])[-1]
+                move = self.moves[state].get(symbol) or self.moves[first].get(symbol)
+                ratio += (math.log(move[1] / self.total[state if symbol in self.moves[state] else first]) - math.log(_CLASS_SIZES.get(symbol, 1)) if move else UNSEEN) - plain[k]
+                state = move[0] if move else first
+            if end > at:
+                found.append((at, end, ratio))
+            at = end
+        return found
+
+    def accepts(self, token: str) -> bool:
+        """Whether a string with a known prefix is as likely as the labelled ones, or likelier than plain text."""
+        return self.score(token) >= self.threshold or sum(r for _, _, r in self.ratios(token)) >= LEAST_RATIO
+
+    def likely(self, run: str) -> list[tuple[int, int]]:
+        """The parts of a run with the highest ratios, of LEAST_RATIO or more; a part ends where its ratio has fallen by as much."""
+        pieces, found, first = self.ratios(run), [], 0
+        while first < len(pieces):
+            total = best = 0.0
+            last = first - 1
+            for k in range(first, len(pieces)):
+                total += pieces[k][2]
+                if total > best:
+                    best, last = total, k
+                if total < max(0.0, best - LEAST_RATIO) or (last < first):
+                    break
+            if last < first:
+                first += 1
+                continue
+            start, end = pieces[first][0], pieces[last][1]
+            while end > start and run[end - 1] in SEPARATORS:
+                end -= 1
+            # what is left at a run's edge belongs to the part unless it is clearly plain or a dot or equals sign parts it
+            if not found and not set(".=") & set(run[:start]) and sum(r for _, e, r in pieces if e <= start) > -LEAST_RATIO:
+                start = 0
+            if not set(".=") & set(run[end:].rstrip("=")) and sum(r for b, _, r in pieces if b >= end and run[b] != "=") > -LEAST_RATIO:
+                end = len(run.rstrip("="))
+            if best >= LEAST_RATIO and end - start >= CANDIDATE_LENGTH:
+                while end < len(run) and run[end] == "=":
+                    end += 1
+                found.append((start, end))
+            first = last + 1
+        return found
+
+
 @lru_cache(maxsize=1)
 def default_automaton() -> Automaton:
     return Automaton(labelled_credentials(), tuple(p for p, _, _ in FORMATS))
@@ -180,17 +318,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def format_spans(text: str, automaton: Automaton) -> list[tuple[int, int, int]]:
-    """Candidates as likely under the automaton as the labelled credentials are."""
+    """Strings with a known prefix as likely as the labelled ones, and parts of runs that the automaton makes likelier than the background."""
     if b"x" * CANDIDATE_LENGTH not in text.encode("utf-8", "surrogatepass").translate(_RUNS):
         return []
-    found = []
+    found = [(m.start(), m.end()) for m in _PREFIXED.finditer(text) if m[0].startswith(automaton.prefixes) and automaton.accepts(m[0])]
     for m in _CANDIDATE.finditer(text):
-        token = m[0]
-        known = token.startswith(automaton.prefixes)
-        mixed = all(sum(map(token.count, part)) >= LEAST_OF_CLASS for part in (UPPER, LOWER, DIGIT))
-        if (known or mixed) and automaton.score(token) >= automaton.threshold:
-            found.append((m.start(), 3, m.end()))
-    return found
+        for start, end in automaton.likely(m[0]):
+            start, end = m.start() + start, m.start() + end
+            within = [x for x in found if x[0] < end and start < x[1]]
+            found = [x for x in found if x not in within] + [(min(start, *(x[0] for x in within)), max(end, *(x[1] for x in within))) if within else (start, end)]
+    return [(start, 3, end) for start, end in sorted(found)]
 
 
 def find_secrets(text: str, automaton: Automaton) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
