@@ -174,7 +174,7 @@ def train(urls: list[str], blocked: list[bool]) -> UrlModel:
 
 
 def rule_labels(pages: DataFrame, url: str = "url", rules=RULES, most: int = MAX_TRAINING_ROWS) -> tuple[list[str], list[bool]]:
-    """At most `most` distinct URLs that a rule decides, and whether it blocks them, chosen by hash."""
+    """Of the distinct URLs that a rule decides the `most` with the smallest hashes, or all, and whether it blocks them."""
     found = RuleSet(rules)
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +183,15 @@ def rule_labels(pages: DataFrame, url: str = "url", rules=RULES, most: int = MAX
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in own], pa.string()), pa.array([b for _, b in own], pa.bool_())], names=["url", "blocked"])
 
     labelled = pages.select(F.col(url).alias("url")).mapInArrow(decided, "url string, blocked boolean")
-    total = labelled.count()
-    if total > 2 * most:  # a share by hash first: else each task would send the driver its own smallest `most`
-        labelled = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < (1 << 30) * 3 * most // (2 * total))
-    rows = labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    hashed = labelled.withColumn("h", F.xxhash64("url"))
+    total = hashed.select("h").distinct().count()
+    share = 1.5 * most / total if total > 2 * most else 1.0
+    while True:  # the smallest hashes only: else each task would send the driver its own smallest `most`
+        own = hashed.filter(F.col("h") < int(share * 2**64) - 2**63) if share < 1 else hashed
+        rows = own.distinct().orderBy("h", "url").limit(most).collect()
+        if share >= 1 or len(rows) == most:
+            break
+        share *= 2
     return [r.url for r in rows], [r.blocked for r in rows]
 
 
