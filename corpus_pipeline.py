@@ -9,15 +9,15 @@ from tessera.llm.common import materialize
 from tessera.llm.exact_dedup import drop_copies
 from tessera.llm.ngram_join import drop_near_copies
 from tessera.llm.packing import pack
-from tessera.llm.quality_rules import keep_good
+from tessera.llm.quality_rules import keep_clean
 from tessera.llm.secret_scan import redact
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 1
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return keep_good(docs)
+    """Documents that the quality rules keep, without the lines that fail."""
+    return keep_clean(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,3 +115,15 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns as they were."""
     return quality_rules(docs, doc_id, text).filter("kept").select("row.*")
+
+
+def keep_clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The rows that keep_good keeps, without their failing lines; `n_chars`, if docs have it, counts what is left.
+
+    A text whose lines all pass stays as it is; of others, blank lines go too.
+    """
+    judged = quality_rules(docs, doc_id, text).filter("kept")
+    whole = F.when(F.col("n_failed_lines") == 0, F.col(f"row.`{text}`")).otherwise(F.col("clean_text"))
+    length = F.when(F.col("n_failed_lines") == 0, F.col(f"row.`{n_chars}`")).otherwise(F.length("clean_text")).cast(docs.schema[n_chars].dataType) if n_chars in docs.columns else None
+    own = {text: whole, n_chars: length}
+    return judged.select(*((own[c] if c in own else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
