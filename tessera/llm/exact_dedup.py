@@ -1,7 +1,7 @@
 """Exact dedup by two Bloom passes, with DataFrame functions only.
 
 Pass one maps every text's 64-bit hash to a slot of a bit table and sets the slots that two or more rows
-share. Pass two reads the texts again and tests each row's slot: a row whose slot is clear has no equal
+share; for that count every row's slot is shuffled, but no text. Pass two reads the texts again and tests each row's slot: a row whose slot is clear has no equal
 anywhere and passes straight through; the others are grouped by SHA-256. A wrong hit costs a little
 shuffling and never changes a result, so the bit table has a fixed largest size and the result is exact
 at every input size.
