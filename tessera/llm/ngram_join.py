@@ -321,9 +321,15 @@ def _meetings(postings: DataFrame, percent: int, common: int) -> DataFrame:
     return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("wanted").alias("wanted")).filter("shared >= wanted").select("a", "b")
 
 
-def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) between sets of hashes that join all that are linked, directly or in a chain.
+def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None = None, every: bool = False) -> list[tuple[int, int]]:
+    """Links (i, j) between sets of hashes that join all that are linked, directly or in a chain; with `every`, all links."""
+    return [(i, int(j)) for i, linked, joining in trie_walk(sets, percent, split, every) for j in (linked if every else joining)]
 
+
+def trie_walk(sets: list[np.ndarray], percent: int = PERCENT, split: int | None = None, every: bool = False) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """(i, sets linked with i, those of them that weren't joined with i before) for sets of hashes.
+
+    Sets already joined with i are left out of the walk, unless `every` link is wanted, which then comes once.
     With `split`, links among the sets before that number, or among those after it, aren't needed.
     A walk over the prefix tree of the ordered sets adds each edge's shingles to the overlaps of all sets
     and takes them off again on the way back.
@@ -331,10 +337,10 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
     n = np.array([len(s) for s in sets], np.int64)
     g = len(sets)
     if g < 2:
-        return []
-    every = np.concatenate(sets)
+        return
+    hashes = np.concatenate(sets)
     owner = np.repeat(np.arange(g, dtype=np.int32), n)
-    _, token, counts = np.unique(every, return_inverse=True, return_counts=True)
+    _, token, counts = np.unique(hashes, return_inverse=True, return_counts=True)
     shared = counts[token] > 1  # a shingle of one set adds to no overlap
     # in the block the most frequent come first, so that sets share long paths
     place = np.empty(len(counts), np.int64)
@@ -354,7 +360,7 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
         differ = np.flatnonzero(a[:m] != b[:m])
         common[k] = int(differ[0]) if len(differ) else m
     overlap, number, label = np.zeros(g, np.int64), np.arange(g), np.arange(g)
-    links: list[tuple[int, int]] = []
+    waiting = np.ones(g, bool)
     walked = np.zeros(0, np.int64)  # the path whose shingles are in the overlaps
 
     def step(tokens: np.ndarray, sign: int) -> None:
@@ -373,7 +379,8 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
         path, at = ordered[i], min(len(walked), common[k])
         if at < len(walked):
             step(walked[at:], -1)
-        wanted = (label != label[i]) & (PERCENT_OF * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        waiting[i] = False
+        wanted = (waiting if every else label != label[i]) & (PERCENT_OF * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
         if split is not None:
             wanted &= (number < split) != (i < split)
         need = -(-percent * (n + n[i]) // (PERCENT_OF + percent))  # least overlap of a link
@@ -387,16 +394,20 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
             at = end
         walked = path[:at]
         if at == len(path):
-            for j in np.flatnonzero(alive).tolist():
+            linked, joining = np.flatnonzero(alive), []
+            for j in linked[label[linked] != label[i]].tolist():
                 if label[j] != label[i]:
-                    links.append((i, j))
+                    joining.append(j)
                     label[label == label[j]] = label[i]
-    return links
+            if len(linked):
+                yield i, linked, joining
 
 
-def ngram_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: the smallest doc_id that links reach, its own included.
 
+    With `count_links` also n_links, the number of other documents that one is linked with, copies included.
+
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets. Null text counts as
     empty; a text without words has an empty set and no link, one with fewer words than a shingle has one
     shingle of all. doc_id is a non-negative integer, unique but for repeated rows, which come out repeated; a
@@ -418,27 +429,31 @@ def ngram_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
 
     # one row for each different set that a document has; its smallest doc_id stands for all
     filled = sized.filter("n > 0 AND doc_id IS NOT NULL").withColumn("key", F.struct("s1", "s2", "n"))
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *([F.count_distinct("doc_id").alias("docs")] if count_links else [F.lit(1).cast("long").alias("docs")]))
     total = sized.count()
     met = meetings.select("a").union(meetings.select("b")).distinct()
-    met_reps = materialize(met.join(filled, F.col("a") == F.col("doc_id")).select("a", "key").join(classes, "key").select("a", "rep", F.col("key.n").alias("n")).distinct(), "ngram-met")
+    met_reps = materialize(met.join(filled, F.col("a") == F.col("doc_id")).select("a", "key").join(classes, "key").select("a", "rep", F.col("key.n").alias("n"), "docs").distinct(), "ngram-met")
     reps = met_reps.select("a", "rep")
     edges = meetings.join(reps.withColumnRenamed("rep", "x"), "a").join(reps.select(F.col("a").alias("b"), F.col("rep").alias("y")), "b")
     blocks = connected_components(edges.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    members = blocks.join(met_reps.select(F.col("rep").alias("node"), "n").distinct(), "node")
-    links = _block_links(own, materialize(members, "ngram-blocks"), words, percent)
-    joined = connected_components(links).select(F.col("node").alias("rep"), "component")
-    classes = classes.join(joined, "rep", "left").select("key", "copies", F.coalesce("component", "rep").alias("component_id"))
+    members = blocks.join(met_reps.select(F.col("rep").alias("node"), "n", "docs").distinct(), "node")
+    links = _block_links(own, materialize(members, "ngram-blocks"), words, percent, count_links)
+    joined = connected_components(links.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), "component")
+    classes = classes.join(joined, "rep", "left")
+    if count_links:
+        classes = classes.join(links.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links")), "rep", "left")
+    more = [(F.coalesce("n_links", F.lit(0)) + F.col("docs") - 1).alias("n_links")] if count_links else []
+    classes = classes.select("key", "copies", F.coalesce("component", "rep").alias("component_id"), *more)
     sure = materialize(filled.select("doc_id", "key"), "ngram-keys")
-    linked = lookup(sure, classes, "key", "copies", total).select("doc_id", F.col("key.n").alias("n_shingles"), "component_id")
-    rest = sized.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = lookup(sure, classes, "key", "copies", total).select("doc_id", F.col("key.n").alias("n_shingles"), "component_id", *(["n_links"] if count_links else []))
+    rest = sized.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if count_links else []))
     return linked.unionByName(rest)
 
 
-def _block_links(own: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links that join all linked documents of each block.
+def _block_links(own: DataFrame, members: DataFrame, words: int, percent: int, count_links: bool = False) -> DataFrame:
+    """(a, b, null) links that join all linked documents of each block; with count_links also (a, null, n_links), to be added up by a.
 
-    members: node, component (its block), n. A block that fits goes to one task. A larger one is cut by set size into
+    members: node, component (its block), n, docs (how many have this set). A block that fits goes to one task. A larger one is cut by set size into
     slices, and each pair of slices whose sizes allow a link goes to a task.
     """
     totals = members.groupBy("component").agg(F.sum("n").alias("_shingles"), F.count(F.lit(1)).alias("_docs"))
@@ -446,7 +461,7 @@ def _block_links(own: DataFrame, members: DataFrame, words: int, percent: int) -
     large = materialize(totals.withColumn("slices", slices).filter("slices > 1").select("component", "slices"), "ngram-large")
     bundles = max(1, (members.agg(F.sum("n")).first()[0] or 0) // BUNDLE_SHINGLES)
     bundle = F.pmod(F.xxhash64("component"), F.lit(bundles))
-    placed = members.join(large, "component", "left_anti").select("node", "component", bundle.alias("bundle"), F.lit(0).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(True).alias("left"))
+    placed = members.join(large, "component", "left_anti").select("node", "docs", "component", bundle.alias("bundle"), F.lit(0).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(True).alias("left"))
     if not large.isEmpty():
         placed = placed.unionByName(_slice_pairs(members.join(large, "component"), percent))
     placed = materialize(placed.withColumnRenamed("node", "doc_id"), "ngram-places")
@@ -454,7 +469,7 @@ def _block_links(own: DataFrame, members: DataFrame, words: int, percent: int) -
     shipped = own.join(F.broadcast(placed) if placed.count() <= MAX_BROADCAST_ROWS else placed, "doc_id")
 
     def link(table: pa.Table) -> pa.Table:
-        found = []
+        found, numbers = [], []
         blocks = table.column("component").to_numpy()
         for block in np.unique(blocks):
             own_rows = table.filter(pa.array(blocks == block))
@@ -466,11 +481,17 @@ def _block_links(own: DataFrame, members: DataFrame, words: int, percent: int) -
                 sets += [h[cuts[k] : cuts[k + 1]] for k in range(j - i)]
             left = own_rows.column("left").to_numpy(zero_copy_only=False)
             by = np.argsort(~left, kind="stable")
-            links = trie_links([sets[k] for k in by], percent, None if left.all() else int(left.sum()))
-            found += [(int(ids[by[x]]), int(ids[by[y]])) for x, y in links]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+            docs, n_links = own_rows.column("docs").to_numpy()[by], np.zeros(len(by), np.int64)
+            for x, linked, joining in trie_walk([sets[k] for k in by], percent, None if left.all() else int(left.sum()), count_links):
+                n_links[x] += docs[linked].sum()
+                n_links[linked] += docs[x]
+                found += [(int(ids[by[x]]), int(ids[by[y]]), None) for y in joining]
+            if count_links:
+                numbers += [(int(ids[by[k]]), None, int(n_links[k])) for k in np.flatnonzero(n_links)]
+        a, b, n = zip(*found, *numbers) if found or numbers else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n_links": pa.array(n, pa.int64())})
 
-    return materialize(shipped.groupBy("bundle", "i", "j").applyInArrow(link, "a long, b long"), "ngram-links")
+    return materialize(shipped.groupBy("bundle", "i", "j").applyInArrow(link, "a long, b long, n_links long"), "ngram-links")
 
 
 def _slice_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -482,13 +503,13 @@ def _slice_pairs(members: DataFrame, percent: int) -> DataFrame:
     band = F.size(F.filter("cuts", lambda c: c < F.col("n")))
     within = F.ceil(F.col("slices") / 10).cast("long")
     sliced = members.drop("slices").join(edges, "component").withColumn("slice", band * within + F.pmod(F.xxhash64("node"), within))
-    sliced = materialize(sliced.select("node", "component", "n", F.col("slice").cast("long").alias("slice")), "ngram-slices")
+    sliced = materialize(sliced.select("node", "docs", "component", "n", F.col("slice").cast("long").alias("slice")), "ngram-slices")
     sizes = sliced.groupBy("component", "slice").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     one, two = sizes.alias("one"), sizes.alias("two")
     near = (F.col("one.slice") <= F.col("two.slice")) & (F.col("one.high") * PERCENT_OF >= F.col("two.low") * percent) & (F.col("two.high") * PERCENT_OF >= F.col("one.low") * percent)
     pairs = materialize(one.join(two, (F.col("one.component") == F.col("two.component")) & near).select(F.col("one.component").alias("component"), F.col("one.slice").alias("i"), F.col("two.slice").alias("j")), "ngram-slice-pairs")
-    as_left = sliced.join(pairs, (sliced["component"] == pairs["component"]) & (F.col("slice") == F.col("i"))).select("node", pairs["component"], pairs["component"].alias("bundle"), "i", "j", F.lit(True).alias("left"))
-    as_right = sliced.join(pairs.filter("i <> j"), (sliced["component"] == pairs["component"]) & (F.col("slice") == F.col("j"))).select("node", pairs["component"], pairs["component"].alias("bundle"), "i", "j", F.lit(False).alias("left"))
+    as_left = sliced.join(pairs, (sliced["component"] == pairs["component"]) & (F.col("slice") == F.col("i"))).select("node", "docs", pairs["component"], pairs["component"].alias("bundle"), "i", "j", F.lit(True).alias("left"))
+    as_right = sliced.join(pairs.filter("i <> j"), (sliced["component"] == pairs["component"]) & (F.col("slice") == F.col("j"))).select("node", "docs", pairs["component"], pairs["component"].alias("bundle"), "i", "j", F.lit(False).alias("left"))
     return as_left.unionByName(as_right)
 
 

@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(_table(spark, sf_dir, "documents"))
+    return ngram_components(_table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
