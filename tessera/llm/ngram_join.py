@@ -351,7 +351,8 @@ def trie_walk(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
     bounds = np.searchsorted(token[by], np.arange(int(token.max(initial=-1)) + 2))
     by = np.lexsort((token, owner))
     ends = np.searchsorted(owner[by], np.arange(g + 1))
-    ordered = [token[by][ends[i] : ends[i + 1]] for i in range(g)]
+    placed = token[by]
+    ordered = [placed[ends[i] : ends[i + 1]] for i in range(g)]
     rank = sorted(range(g), key=lambda i: ordered[i].astype(">u4").tobytes())
     common = [0] * g  # how many first shingles a set shares with the one before it in this order
     for k in range(1, g):
