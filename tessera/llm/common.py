@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,11 +48,41 @@ def _clear() -> None:
             return
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the table that materialize returned as df, which nothing may read any more."""
+    path = getattr(df, "_table_path", None)
+    for k, (spark, own) in enumerate(_left):
+        if own == path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            del _left[k]
+            return
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the work folder and read it back: it cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    return table
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name` with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def release_memory() -> None:
+    """Give freed memory of a Python worker back, which otherwise keeps it for as long as Spark keeps the worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
 
 
 def hot_key_limit(rows: int) -> int:

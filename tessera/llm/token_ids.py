@@ -5,14 +5,20 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
+import time
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from tessera.llm.common import release_memory
+
 #: Most pieces whose ids a worker keeps; further ones are encoded once for each run of texts.
 MAX_KEPT = 800_000
+#: Seconds without a text after which a worker, which Spark keeps for other work, drops its kept pieces.
+IDLE_SECONDS = 5.0
 #: Words that the library encodes as one text.
 JOINED = 2_000
 #: Characters of text whose pieces are held at once; a longer text is on its own.
@@ -62,6 +68,16 @@ class PieceEncoder:
             self.whole = re.compile("|".join(map(re.escape, names)) or "(?!)")
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.kept = _Kept()
+        self._lock, self._used, self._watched = threading.Lock(), 0.0, False
+
+    def _drop_when_idle(self) -> None:
+        while True:
+            time.sleep(IDLE_SECONDS / 4)
+            with self._lock:
+                if time.monotonic() - self._used >= IDLE_SECONDS:
+                    self.kept, self._watched = _Kept(), False
+                    break
+        release_memory()
 
     def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of new pieces. Those that the pattern takes for one word each are encoded many at once."""
@@ -91,7 +107,13 @@ class PieceEncoder:
             while end < len(texts) and size + len(texts[end]) <= CHUNK:
                 size += len(texts[end])
                 end += 1
-            found += self._encode_chunk(texts[start:end])
+            with self._lock:
+                self._used = time.monotonic()
+                if not self._watched:
+                    self._watched = True
+                    threading.Thread(target=self._drop_when_idle, daemon=True).start()
+                found += self._encode_chunk(texts[start:end])
+                self._used = time.monotonic()
             start = end
         return found
 
@@ -103,7 +125,9 @@ class PieceEncoder:
         kept.update(islice(fresh.items(), max(0, MAX_KEPT - len(kept))))
         kept.rest = fresh
         get = kept.__getitem__
-        return [self._library_ids([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
+        found = [self._library_ids([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut)]
+        kept.rest = {}
+        return found
 
 
 @lru_cache(maxsize=2)
