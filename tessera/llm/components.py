@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize
+from tessera.llm.common import forget, lookup, materialize
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -23,20 +23,19 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return moved.union(least.select(F.col("low").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b): the smallest node of its component.
 
-    A round never makes more edges than it has. Each writes its edges to the work folder, so lineage stays
-    short and a lost executor costs one round.
+    A round never makes more edges than it has, and rounds go on to the fixed point. Each writes its edges to the work
+    folder, so lineage stays short and a lost executor costs one round, and deletes those of the round before.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).filter("a <> b").select("a", "b").distinct(), "components")
-    for _ in range(most_rounds):
-        grown = materialize(_large_star(edges, edges.count()), "components")
-        after = materialize(_small_star(grown, grown.count()), "components")
-        before, edges = edges, after
-        marks = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-        if before.agg(*marks).first() == edges.agg(*marks).first():
-            break
-    else:
-        raise RuntimeError(f"no fixed point in {most_rounds} rounds")
+    marks = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    before, after = None, edges.agg(*marks).first()
+    while before != after:
+        grown = materialize(_large_star(edges, after[0]), "components")
+        forget(edges)
+        edges = materialize(_small_star(grown, grown.count()), "components")
+        forget(grown)
+        before, after = after, edges.agg(*marks).first()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

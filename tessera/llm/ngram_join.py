@@ -4,9 +4,9 @@ A document's set is its distinct word shingles, as 64-bit hashes. All documents
 rarer ones first, by a count over the whole corpus, then by hash. Two sets of the wanted similarity must meet
 in the first shingles of that order (the prefix), so documents that meet nowhere else are left out at once.
 Documents that meet in prefixes, directly or in a chain, form a block; blocks are found as connected
-components. Within a block the ordered sets are kept as a prefix tree that is walked once with the overlaps
-of the path and every document of the block, which all sets below a node share; a subtree is left as soon as no
-document can reach the wanted overlap with the shingles that remain, or all that could are linked already.
+components. Within a block the sets, in the same order from its common end, are kept as a prefix tree that is walked once with
+the overlaps of the path and every document of the block, which all sets below a node share; a subtree is left as
+soon as no document can reach the wanted overlap with the shingles that remain, or all that could are linked already.
 
 Equal sets are one set to all of this, so copies cost nothing. Shingles that many documents hold come last
 in the order, so they put documents in one block only if little else is in them. Blocks above a size
@@ -15,7 +15,7 @@ are split into pairs of slices, whose links are joined by another pass of connec
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize, utf8_of
+from tessera.llm.common import free_name, lookup, materialize, release_memory, utf8_of
 from tessera.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -176,6 +176,7 @@ def _scan(docs: DataFrame, buckets: int, words: int) -> DataFrame:
                     yield slots()
         if held:
             yield slots()
+        release_memory()
 
     names = ["doc_id", "n", "s1", "s2", "bucket", "packed"]
     return docs.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, bucket long, packed binary")
@@ -261,6 +262,8 @@ def _postings(docs: DataFrame, order, buckets: int, words: int, percent: int) ->
                     yield packed()
         if size:
             yield packed()
+        seen.clear()
+        release_memory()
 
     names = ["bucket", "h", "at", "ids", "sizes", "common"]
     return docs.mapInArrow(post, "bucket long, h binary, at binary, ids binary, sizes binary, common binary")
@@ -326,82 +329,118 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, split: int | None
     return [(i, int(j)) for i, linked, joining in trie_walk(sets, percent, split, every) for j in (linked if every else joining)]
 
 
-def trie_walk(sets: list[np.ndarray], percent: int = PERCENT, split: int | None = None, every: bool = False) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+def trie_walk(sets: list[np.ndarray], percent: int = PERCENT, split: int | None = None, every: bool = False, count: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, list[int]]]:
     """(i, sets linked with i, those of them that weren't joined with i before) for sets of hashes.
 
     Sets already joined with i are left out of the walk, unless `every` link is wanted, which then comes once.
-    With `split`, links among the sets before that number, or among those after it, aren't needed.
-    A walk over the prefix tree of the ordered sets adds each edge's shingles to the overlaps of all sets
-    and takes them off again on the way back.
+    With `split`, links among the sets before that number, or among those after it, aren't needed. `count` gives the
+    corpus-wide counts of hashes. The sets' paths follow the corpus-wide order from its common end, so that sets share
+    long paths. A walk over their prefix tree adds each edge's shingles to the overlaps of all sets and takes them off
+    again on the way back. A subtree is left where no set can reach the overlap that its smallest set would want
+    with the shingles that remain to its longest.
     """
     n = np.array([len(s) for s in sets], np.int64)
     g = len(sets)
     if g < 2:
         return
-    hashes = np.concatenate(sets)
+    different, token, holding = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(g, dtype=np.int32), n)
-    _, token, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    shared = counts[token] > 1  # a shingle of one set adds to no overlap
-    # in the block the most frequent come first, so that sets share long paths
-    place = np.empty(len(counts), np.int64)
-    place[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
+    shared = holding[token] > 1  # a shingle of one set adds to no overlap
+    place = np.empty(len(different), np.int32)
+    place[np.lexsort((different, -count(different)) if count else (different,))] = np.arange(len(different), dtype=np.int32)
     token, owner = place[token[shared]], owner[shared]
     by = np.lexsort((owner, token))
-    holders = owner[by]
-    bounds = np.searchsorted(token[by], np.arange(int(token.max(initial=-1)) + 2))
+    holders, placed = owner[by], token[by]
+    bounds = np.searchsorted(placed, np.arange(len(different) + 1))
     by = np.lexsort((token, owner))
-    ends = np.searchsorted(owner[by], np.arange(g + 1))
-    placed = token[by]
-    ordered = [placed[ends[i] : ends[i + 1]] for i in range(g)]
-    rank = sorted(range(g), key=lambda i: ordered[i].astype(">u4").tobytes())
-    common = [0] * g  # how many first shingles a set shares with the one before it in this order
+    ends, placed = np.searchsorted(owner[by], np.arange(g + 1)), token[by]
+    paths = [placed[ends[i] : ends[i + 1]] for i in range(g)]
+    rank = np.array(sorted(range(g), key=lambda i: paths[i].astype(">u4").tobytes()), np.int64)
+    length = ends[1:] - ends[:-1]
+    common = np.zeros(g, np.int64)  # how many first shingles a path shares with the one before it in this order
     for k in range(1, g):
-        a, b = ordered[rank[k - 1]], ordered[rank[k]]
+        a, b = paths[rank[k - 1]], paths[rank[k]]
         m = min(len(a), len(b))
         differ = np.flatnonzero(a[:m] != b[:m])
         common[k] = int(differ[0]) if len(differ) else m
     overlap, number, label = np.zeros(g, np.int64), np.arange(g), np.arange(g)
     waiting = np.ones(g, bool)
-    walked = np.zeros(0, np.int64)  # the path whose shingles are in the overlaps
 
     def step(tokens: np.ndarray, sign: int) -> None:
-        low, count = bounds[tokens], bounds[tokens + 1] - bounds[tokens]
-        total = np.cumsum(count)
+        low, size = bounds[tokens], bounds[tokens + 1] - bounds[tokens]
+        total = np.cumsum(size)
         start = 0
         while start < len(tokens):  # as many tokens at once as STEP holders allow
             done = total[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(total, done + STEP, "right")))
-            own = count[start:end]
+            own = size[start:end]
             at = np.repeat(low[start:end] - (total[start:end] - own - done), own) + np.arange(int(own.sum()))
             overlap[:] += sign * np.bincount(holders[at], minlength=g)
             start = end
 
-    for k, i in enumerate(rank):
-        path, at = ordered[i], min(len(walked), common[k])
-        if at < len(walked):
-            step(walked[at:], -1)
+    def wanted(members: np.ndarray) -> np.ndarray:
+        """The sets that a member may be linked with, by what is known before the walk."""
+        least, most = n[members].min(), n[members].max()
+        found = (PERCENT_OF * n >= percent * least) & (percent * n <= PERCENT_OF * most)
+        if every:
+            found &= waiting
+        elif (label[members] == label[members[0]]).all():
+            found &= label != label[members[0]]
+        if split is not None and ((members < split) == (members[0] < split)).all():
+            found &= (number < split) != (members[0] < split)
+        return found
+
+    def walk(members: np.ndarray, path: np.ndarray, at: int, end: int) -> tuple[int, bool]:
+        """Where the walk along a path came to, and whether a member may still reach a link."""
+        own = wanted(members)
+        need = -(-percent * (n + n[members].min()) // (PERCENT_OF + percent))  # least overlap of a link
+        longest = int(length[members].max())
+        while (own & (overlap + (longest - at) >= need)).any():
+            if at == end:
+                return at, True
+            to = min(end, at + max(32, at))
+            step(path[at:to], 1)
+            at = to
+        return at, False
+
+    def leaf(i: int) -> tuple[int, np.ndarray, list[int]] | None:
+        """The links of a set whose whole path is in the overlaps."""
+        one = np.array([i])
         waiting[i] = False
-        wanted = (waiting if every else label != label[i]) & (PERCENT_OF * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        if split is not None:
-            wanted &= (number < split) != (i < split)
-        need = -(-percent * (n + n[i]) // (PERCENT_OF + percent))  # least overlap of a link
-        while True:
-            # what remains of the path bounds the overlap that can still be reached
-            alive = wanted & (overlap + (len(path) - at) >= need)
-            if at == len(path) or not alive.any():
-                break
-            end = min(len(path), at + max(32, at))
-            step(path[at:end], 1)
-            at = end
-        walked = path[:at]
-        if at == len(path):
-            linked, joining = np.flatnonzero(alive), []
-            for j in linked[label[linked] != label[i]].tolist():
-                if label[j] != label[i]:
-                    joining.append(j)
-                    label[label == label[j]] = label[i]
-            if len(linked):
-                yield i, linked, joining
+        linked = np.flatnonzero(wanted(one) & (overlap >= -(-percent * (n + n[i]) // (PERCENT_OF + percent))))
+        linked = linked[linked != i]
+        joining = []
+        for j in linked[label[linked] != label[i]].tolist():
+            if label[j] != label[i]:
+                joining.append(j)
+                label[label == label[j]] = label[i]
+        return (i, linked, joining) if len(linked) else None
+
+    todo: list[tuple] = [(0, g, 0)]
+    while todo:
+        low, *rest = todo.pop()
+        if len(rest) == 1:  # the way back
+            step(low[rest[0] :], -1)
+            continue
+        high, start = rest
+        members = rank[low:high]
+        path = paths[members[0]]
+        end = int(common[low + 1 : high].min()) if high - low > 1 else len(path)
+        at, alive = walk(members, path, start, end)
+        if at > start:
+            todo.append((path[:at], start))
+        if not alive:
+            waiting[members] = False
+            continue
+        cuts = [low, *(low + 1 + np.flatnonzero(common[low + 1 : high] == end)).tolist(), high]
+        below = []
+        for i, j in zip(cuts, cuts[1:]):
+            if j - i == 1 and length[rank[i]] == end:
+                if (found := leaf(int(rank[i]))) is not None:
+                    yield found
+            else:
+                below.append((i, j, end))
+        todo += below[::-1]
 
 
 def ngram_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
@@ -413,7 +452,7 @@ def ngram_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     empty; a text without words has an empty set and no link, one with fewer words than a shingle has one
     shingle of all. doc_id is a non-negative integer, unique but for repeated rows, which come out repeated; a
     null doc_id links with nothing and has a null component. Other columns are ignored; an empty table
-    gives an empty one. Shingles are compared by 64-bit hash.
+    gives an empty one. Shingles are compared by 64-bit hash, so a very long text costs 8 bytes a word.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -438,7 +477,7 @@ def ngram_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     edges = meetings.join(reps.withColumnRenamed("rep", "x"), "a").join(reps.select(F.col("a").alias("b"), F.col("rep").alias("y")), "b")
     blocks = connected_components(edges.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     members = blocks.join(met_reps.select(F.col("rep").alias("node"), "n", "docs").distinct(), "node")
-    links = _block_links(own, materialize(members, "ngram-blocks"), words, percent, count_links)
+    links = _block_links(own, materialize(members, "ngram-blocks"), order, words, percent, count_links)
     joined = connected_components(links.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), "component")
     classes = classes.join(joined, "rep", "left")
     if count_links:
@@ -451,7 +490,7 @@ def ngram_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     return linked.unionByName(rest)
 
 
-def _block_links(own: DataFrame, members: DataFrame, words: int, percent: int, count_links: bool = False) -> DataFrame:
+def _block_links(own: DataFrame, members: DataFrame, order, words: int, percent: int, count_links: bool = False) -> DataFrame:
     """(a, b, null) links that join all linked documents of each block; with count_links also (a, null, n_links), to be added up by a.
 
     members: node, component (its block), n, docs (how many have this set). A block that fits goes to one task. A larger one is cut by set size into
@@ -483,13 +522,14 @@ def _block_links(own: DataFrame, members: DataFrame, words: int, percent: int, c
             left = own_rows.column("left").to_numpy(zero_copy_only=False)
             by = np.argsort(~left, kind="stable")
             docs, n_links = own_rows.column("docs").to_numpy()[by], np.zeros(len(by), np.int64)
-            for x, linked, joining in trie_walk([sets[k] for k in by], percent, None if left.all() else int(left.sum()), count_links):
+            for x, linked, joining in trie_walk([sets[k] for k in by], percent, None if left.all() else int(left.sum()), count_links, order.value.count):
                 n_links[x] += docs[linked].sum()
                 n_links[linked] += docs[x]
                 found += [(int(ids[by[x]]), int(ids[by[y]]), None) for y in joining]
             if count_links:
                 numbers += [(int(ids[by[k]]), None, int(n_links[k])) for k in np.flatnonzero(n_links)]
         a, b, n = zip(*found, *numbers) if found or numbers else ((), (), ())
+        release_memory()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n_links": pa.array(n, pa.int64())})
 
     return materialize(shipped.groupBy("bundle", "i", "j").applyInArrow(link, "a long, b long, n_links long"), "ngram-links")
@@ -515,8 +555,13 @@ def _slice_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of its component, or null."""
+    """The rows of docs, with all their columns, whose doc_id is the smallest of its component, or null.
+
+    Null and empty texts link with nothing and stay; of repeated rows, which share a doc_id, all stay or all go;
+    an empty table gives an empty one; a text may have any length, as it is shingled by its words' hashes.
+    """
     found = ngram_components(docs, words, percent, doc_id, text)
-    gone = materialize(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")), "near-copies")
+    key = free_name(docs, "gone")
+    gone = materialize(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(key), "left_anti")
