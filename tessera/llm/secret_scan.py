@@ -85,11 +85,12 @@ def plain_tokens(seed: int = SEED, count: int = PLAIN_TOKENS) -> list[str]:
         known = {base64.b64decode(line.split()[0]).strip().lower() for line in lines if line.strip()}
     words = sorted(w.decode() for w in known if re.fullmatch(rb"[a-z]{2,}", w))
     cases = (str, str, str, str.title, str.upper)
+    marks = (lambda: draw.choice(LOWER) + str(draw.randrange(10)), lambda: draw.choice(LOWER) + draw.choice(LOWER), lambda: "v" + str(draw.randrange(1, 30)))
     numbers = (lambda: str(draw.randrange(1900, 2100)), lambda: str(draw.randrange(100)), lambda: str(draw.randrange(10**6)), lambda: f"{draw.randrange(1990, 2040)}-{draw.randrange(1, 13):02}-{draw.randrange(1, 32):02}", lambda: str(draw.randrange(10**12)))
     found = []
     for _ in range(count):
         joint, case = draw.choice(("", "", "-", "-", "_", "_", "/", "/", ".", "+", "=", "camel")), draw.choice(cases)
-        parts = [draw.choice(numbers)() if draw.random() < 0.15 else draw.choice(words) for _ in range(draw.randrange(2, 6))]
+        parts = [draw.choice(numbers)() if draw.random() < 0.15 else draw.choice(marks)() if draw.random() < 0.03 else draw.choice(words) for _ in range(draw.randrange(2, 7))]
         parts = [parts[0], *map(str.title, parts[1:])] if joint == "camel" else list(map(case, parts))
         found.append(joint.replace("camel", "").join(parts))
     return found
@@ -322,19 +323,20 @@ def format_spans(text: str, automaton: Automaton) -> list[tuple[int, int, int]]:
     if b"x" * CANDIDATE_LENGTH not in text.encode("utf-8", "surrogatepass").translate(_RUNS):
         return []
     found = [(m.start(), m.end()) for m in _PREFIXED.finditer(text) if m[0].startswith(automaton.prefixes) and automaton.accepts(m[0])]
-    for m in _CANDIDATE.finditer(text):
-        for start, end in automaton.likely(m[0]):
-            start, end = m.start() + start, m.start() + end
-            within = [x for x in found if x[0] < end and start < x[1]]
-            found = [x for x in found if x not in within] + [(min(start, *(x[0] for x in within)), max(end, *(x[1] for x in within))) if within else (start, end)]
-    return [(start, 3, end) for start, end in sorted(found)]
+    found += [(m.start() + start, m.start() + end) for m in _CANDIDATE.finditer(text) for start, end in automaton.likely(m[0])]
+    joined: list[list[int]] = []
+    for start, end in sorted(found):
+        if joined and start < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    return [(start, 3, end) for start, end in joined]
 
 
 def find_secrets(text: str, automaton: Automaton) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans of a text, and those with the automaton's that lie in no base span, both sorted."""
+    """The base spans of a text, and those with the automaton's, both sorted. Spans of different kinds may overlap."""
     base = base_spans(text)
-    more = [x for x in format_spans(text, automaton) if not any(s < x[2] and x[0] < e for s, _, e in base)]
-    return base, sorted(base + more)
+    return base, sorted(base + format_spans(text, automaton))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -344,9 +346,10 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", automaton: Automaton | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of docs.
 
-    Spans are kind:start:end in code points, end exclusive, by start and then kind. Null text counts as
-    empty and has none; repeated rows are scanned alike; an empty table gives an empty one; other columns
-    are ignored. Each row is scanned on its own, so nothing is shuffled.
+    Spans are kind:start:end in code points, end exclusive, by start and then kind; the automaton's are added to the
+    base ones and may overlap them. Null text counts as empty and has none; repeated rows and null or repeated ids
+    are scanned alike; an empty table gives an empty one; other columns are ignored. Each row is scanned on its own
+    in one pass over its text, however long, so nothing is shuffled.
     """
     automaton = automaton or default_automaton()
 
@@ -365,7 +368,11 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", aut
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", automaton: Automaton | None = None) -> DataFrame:
-    """docs with every span of find_secrets in `text` replaced by `mark`; null stays null, other columns as they are."""
+    """docs with every span of find_secrets in `text` replaced by `mark`, spans that overlap by one; other columns as they are.
+
+    Null stays null and empty stays empty; repeated rows are changed alike; a table may be empty, a text long, and
+    columns may have any names.
+    """
     automaton = automaton or default_automaton()
     place = docs.columns.index(text)
 
@@ -382,4 +389,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", automato
                 bodies.append("".join(parts) + body[at:] if spans else body)
             yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(cover, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(cover, plain.schema).toDF(*docs.columns)
