@@ -9,6 +9,7 @@ on their own and always stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -195,38 +196,64 @@ def _compiled(regex: str) -> re.Pattern:
     return re.compile(rf"(?<= )(?:{regex})(?= )".encode())
 
 
-def _starts(joined: bytes, phrase: bytes) -> list[int]:
-    """Word numbers where a phrase stands in the words joined by blanks, overlaps included."""
-    found, at = [], joined.find(b" " + phrase + b" ")
+class _Words:
+    """Lower-cased words, each with one blank before it and one at the end, and the word numbers of byte offsets."""
+
+    def __init__(self, lowered: bytes):
+        self.joined = b" " + b" ".join(_WORD.findall(lowered)) + b" "
+        self._blanks = np.flatnonzero(np.frombuffer(self.joined, np.uint8) == 0x20).tolist()
+
+    def blanks_before(self, offset: int) -> int:
+        return bisect_left(self._blanks, offset)
+
+
+def _starts(words: _Words, phrase: bytes) -> list[int]:
+    """Word numbers where a phrase stands, overlaps included."""
+    found, at = [], words.joined.find(b" " + phrase + b" ")
     while at >= 0:
-        found.append(joined.count(b" ", 0, at))
-        at = joined.find(b" " + phrase + b" ", at + 1)
+        found.append(words.blanks_before(at))
+        at = words.joined.find(b" " + phrase + b" ", at + 1)
     return found
 
 
-def detect(joined: bytes) -> list[tuple[int, int, Rule]]:
-    """(first word, word after the last, rule) of all matches that no earlier match of another rule contains.
+class _Widest:
+    """Intervals of which none contains another, so that starts and ends go up together."""
 
-    joined: the lower-cased words, each with one blank before it, and one at the end.
-    """
-    kept: list[tuple[int, int, Rule]] = []
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def contain(self, start: int, end: int) -> bool:
+        at = bisect_right(self.starts, start)
+        return at > 0 and self.ends[at - 1] >= end
+
+    def add(self, start: int, end: int) -> None:
+        """Add an interval that none contains, in place of those that it contains."""
+        first, after = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        self.starts[first : max(first, after)] = [start]
+        self.ends[first : max(first, after)] = [end]
+
+
+def detect(words: _Words) -> list[tuple[int, int, Rule]]:
+    """(first word, word after the last, rule) of all matches that no earlier match of any rule contains."""
+    kept, widest = [], _Widest()
     for rule in rules():
-        if rule.keyword and rule.keyword not in joined:
+        if rule.keyword and rule.keyword not in words.joined:
             continue
-        for m in rule.pattern.finditer(joined):
+        for m in rule.pattern.finditer(words.joined):
             first = m.start("own") if "own" in rule.pattern.groupindex else m.start()
-            start = joined.count(b" ", 0, first) - 1
-            end = start + joined.count(b" ", first, m.end()) + 1
-            if not any(s <= start and end <= e for s, e, _ in kept):
+            start, end = words.blanks_before(first) - 1, words.blanks_before(m.end())
+            if not widest.contain(start, end):
                 kept.append((start, end, rule))
+                widest.add(start, end)
     return sorted(kept, key=lambda x: (x[0], x[1], x[2].label))
 
 
 def scan_words(lowered: bytes) -> tuple[list[tuple[int, str]], list[tuple[int, int, Rule]]]:
     """(word, label) of the base places of a lower-cased text, and the rules' detections."""
-    joined = b" " + b" ".join(_WORD.findall(lowered)) + b" "
-    base = sorted((at, label) for phrase, label in BASE for at in _starts(joined, phrase.encode()))
-    return base, detect(joined)
+    words = _Words(lowered)
+    base = sorted((at, label) for phrase, label in BASE for at in _starts(words, phrase.encode()))
+    return base, detect(words)
 
 
 def _gate() -> re.Pattern:
@@ -241,8 +268,9 @@ def _gate() -> re.Pattern:
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections of every row of docs.
 
-    Null text counts as empty: no words, no places, empty labels and a score of 0. Repeated rows are scanned
-    alike; an empty table gives an empty one; other columns are ignored. Rows are scanned each on its own.
+    Null text counts as empty: no words, no places, empty labels and a score of 0. Repeated rows and null or
+    repeated ids are scanned alike; an empty table gives an empty one; other columns are ignored. Rows are scanned
+    each on its own; the cost of a long text grows with its length and with its matches times their logarithm.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
