@@ -1,14 +1,16 @@
 """URL filter: domain rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees are trained on labelled URLs: by default those the rules themselves decide, and a seed set that
-crosses host words of known kind with domains and languages, so that a rule for one language of a domain
-doesn't condemn the others. The trees see the URL's shape and smoothed label rates of its suffixes and
-host words.
+The rules of a site's domain and language say nothing about a URL's shape, so the trees learn nothing from them. They are
+trained on labelled URLs whose shape varies with the label: by default those of `seeds`, a seeded generator of plain and of
+spam-like URLs over the same domains and languages, else labelled URLs of the user's. The trees see the URL's
+shape and smoothed label rates of its suffixes and host words, which for training come from other hosts' labels.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,19 +30,19 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: Most labelled URLs that training reads, chosen by hash, so the choice doesn't depend on order.
+#: Most URLs that rule_labels returns, chosen by hash, so the choice doesn't depend on order.
 MAX_TRAINING_ROWS = 20_000
-TREES, DEPTH, RATE, BINS, SMOOTHING = 40, 3, 0.2, 32, 8.0
+TREES, DEPTH, RATE, BINS, SMOOTHING, FOLDS = 60, 4, 0.2, 32, 8.0, 4
 
-#: Host words of the seed set, and what they are crossed with.
-BLOCKED_WORDS = ("casino", "bets", "pills", "viagra", "loans", "porn", "ads", "track", "cheap", "free")
-ALLOWED_WORDS = ("library", "news", "docs", "school", "wiki", "museum", "garden", "recipes", "weather", "science")
-SEED_SUFFIXES = ("com", "net", "org")
+#: Host words of the seed set, and the domains and languages that both labels share or only one has.
+BLOCKED_WORDS = ("casino", "bets", "pills", "viagra", "loans", "porn", "ads", "track", "cheap", "free", "spam", "farm", "win", "sex", "bonus", "deals")
+ALLOWED_WORDS = ("library", "news", "docs", "school", "wiki", "museum", "garden", "recipes", "weather", "science", "travel", "health", "music", "forum", "sports", "history")
+SHARED_SUFFIXES, BLOCKED_SUFFIXES, ALLOWED_SUFFIXES = ("com", "net", "org", "de", "fr"), ("xyz", "top", "click", "loan", "icu"), ("edu", "gov", "info", "eu", "io")
 SEED_LANGUAGES = ("en", "de", "fr", "es")
-SEED_WEIGHT = 10
+SEED_URLS, SEED = 8_000, 7
 
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
-FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "https", "top_suffix", "second_suffix", "extension", "first_segment", "host_word")
+FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "https", "top_suffix", "second_suffix", "extension", "host_word")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -69,9 +71,10 @@ class RuleSet:
         return best
 
 
-def _suffixes(host: str, path: str) -> tuple[str, str, str, str]:
+def _suffixes(host: str, path: str) -> tuple[str, str, str]:
+    """Top-level and second-level suffix of the host, and the path's extension."""
     labels, last = host.split("."), path.rpartition("/")[2]
-    return labels[-1], ".".join(labels[-2:]), last.rpartition(".")[2] if "." in last else "", path.split("/")[1] if path.count("/") > 1 else ""
+    return labels[-1], ".".join(labels[-2:]), last.rpartition(".")[2] if "." in last else ""
 
 
 def _host_words(host: str) -> set[str]:
@@ -79,11 +82,44 @@ def _host_words(host: str) -> set[str]:
     return set(re.split(r"[.-]", host.rpartition(".")[0])) - {""}
 
 
-def seeds() -> tuple[list[str], list[bool]]:
-    """The labelled seed URLs, each SEED_WEIGHT times with another number in its path."""
-    kinds = [(w, True) for w in BLOCKED_WORDS] + [(w, False) for w in ALLOWED_WORDS]
-    rows = [(f"https://{w}-site{k}.example.{s}/{lang}/{k}{len(w)}", b) for w, b in kinds for s in SEED_SUFFIXES for lang in SEED_LANGUAGES for k in range(SEED_WEIGHT)]
-    return [u for u, _ in rows], [b for _, b in rows]
+def seeds(count: int = SEED_URLS, seed: int = SEED) -> tuple[list[str], list[bool]]:
+    """Labelled URLs of a seeded generator, half of them blocked.
+
+    Blocked URLs have a word of that kind in their host, or a spam-like shape: long random names, hyphens and digits, deep
+    paths of random numbers and many parameters; the rest of them is as in the others, which vary too.
+    """
+    draw = random.Random(seed)
+    syllables = [c + v for c in "bcdfghklmnprstvw" for v in "aeiou"]
+
+    def name() -> str:
+        return "".join(draw.choices(syllables, k=draw.randrange(2, 5)))
+
+    def code(n: int) -> str:
+        return "".join(draw.choices("0123456789abcdef0123456789", k=n))
+
+    urls, labels = [], []
+    for _ in range(count):
+        blocked = draw.random() < 0.5
+        shaped = blocked and draw.random() < 0.5
+        words = [draw.choice(BLOCKED_WORDS if blocked else ALLOWED_WORDS)] if (blocked and not shaped) or draw.random() < 0.3 and not shaped else []
+        words += [name() for _ in range(draw.randrange(0 if words else 1, 3))]
+        draw.shuffle(words)
+        host = draw.choice(("-", "-", "")).join(words)
+        if shaped and draw.random() < 0.7:
+            host = draw.choice((code(draw.randrange(8, 20)), f"{host}-{name()}-{name()}{draw.randrange(10, 10000)}", f"{code(6)}.{code(8)}.{host}"))
+        ending = draw.choice(SHARED_SUFFIXES if draw.random() < 0.7 else BLOCKED_SUFFIXES if blocked else ALLOWED_SUFFIXES)
+        host = draw.choice(("", "", "www.", "m.", "blog.")) + host + draw.choice((".example", "", "")) + "." + ending
+        path = draw.choice(("", f"/{draw.choice(SEED_LANGUAGES)}"))
+        if shaped:
+            path += "".join("/" + draw.choice((code(draw.randrange(4, 16)), str(draw.randrange(10**6)), name())) for _ in range(draw.randrange(2, 8)))
+            query = [f"{draw.choice(('id', 'sid', 'ref', 'click', 'aff', 'q', name()))}={code(draw.randrange(2, 20))}" for _ in range(draw.randrange(0, 9))]
+        else:
+            path += "".join("/" + draw.choice((str(draw.randrange(1000)), "-".join(name() for _ in range(draw.randrange(1, 6))), str(draw.randrange(1995, 2030)))) for _ in range(draw.randrange(0, 4)))
+            path += draw.choice(("", "", "/", ".html", ".pdf" if not blocked else ".php"))
+            query = draw.choice(([], [], [], ["page=2", "ref=x"], ["utm_source=feed"], [f"id={draw.randrange(10**5)}"]))
+        urls.append(f"{draw.choice(('http', 'https', 'https'))}://{host}{path}" + ("?" + "&".join(query) if query else "") + draw.choice(("", "", "", "#top")))
+        labels.append(blocked)
+    return urls, labels
 
 
 def _shape(url: str, host: str, path: str) -> list[float]:
@@ -96,30 +132,45 @@ def _shape(url: str, host: str, path: str) -> list[float]:
     ]
 
 
+class _Rates:
+    """Smoothed blocking rates of each kind of suffix and of host words."""
+
+    def __init__(self, places: list[tuple[str, str]], blocked: np.ndarray, base: float):
+        kinds: list[dict[str, list[float]]] = [{} for _ in range(4)]
+        for at, target in zip(places, blocked):
+            for kind, s in zip(kinds, _suffixes(*at)):
+                kind.setdefault(s, []).append(target)
+            for word in _host_words(at[0]):
+                kinds[3].setdefault(word, []).append(target)
+        self.base = base
+        *self.suffixes, self.words = [{s: (sum(v) + SMOOTHING * base) / (len(v) + SMOOTHING) for s, v in kind.items()} for kind in kinds]
+
+    def of(self, host: str, path: str) -> list[float]:
+        """The rate of each suffix, and of the host word with the highest."""
+        return [rates.get(s, self.base) for rates, s in zip(self.suffixes, _suffixes(host, path))] + [max((self.words.get(w, self.base) for w in _host_words(host)), default=self.base)]
+
+
+def _features(urls: list[str], places: list[tuple[str, str]], rates: _Rates) -> np.ndarray:
+    rows = [_shape(u, *at) + rates.of(*at) for u, at in zip(urls, places)]
+    return np.asarray(rows, float).reshape(len(rows), len(FEATURES))
+
+
 @dataclass
 class UrlModel:
     """Trees over binned features, and smoothed blocking rates for each kind of suffix and for host words."""
 
-    suffix_rates: list[dict[str, float]]
-    word_rates: dict[str, float]
+    rates: "_Rates"
     base_rate: float
     edges: list[np.ndarray] = field(default_factory=list)
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     prior: float = 0.0
 
-    def features(self, urls: list[str], places: list[tuple[str, str]]) -> np.ndarray:
-        rows = [_shape(u, *at) + [rates.get(s, self.base_rate) for rates, s in zip(self.suffix_rates, _suffixes(*at))] + [self._host_word(at[0])] for u, at in zip(urls, places)]
-        return np.asarray(rows, float).reshape(len(rows), len(FEATURES))
-
-    def _host_word(self, host: str) -> float:
-        return max((self.word_rates.get(w, self.base_rate) for w in _host_words(host)), default=self.base_rate)
-
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, k], "right") for k, e in enumerate(self.edges)], 1) if len(x) else np.zeros((0, len(self.edges)), int)
 
     def score(self, urls: list[str], places: list[tuple[str, str]]) -> np.ndarray:
         """Probability that each URL is to be blocked."""
-        x = self.binned(self.features(urls, places))
+        x = self.binned(_features(urls, places, self.rates))
         total = np.full(len(x), self.prior)
         for columns, cuts, leaves in self.trees:
             at = np.zeros(len(x), int)
@@ -134,18 +185,16 @@ def train(urls: list[str], blocked: list[bool]) -> UrlModel:
     y = np.asarray(blocked, float)
     places = [split_url(u) for u in urls]
     base = float(y.mean()) if len(y) else 0.0
-    kinds: list[dict[str, list[float]]] = [{} for _ in range(5)]
-    for at, target in zip(places, y):
-        for kind, s in zip(kinds, _suffixes(*at)):
-            kind.setdefault(s, []).append(target)
-        for word in _host_words(at[0]):
-            kinds[4].setdefault(word, []).append(target)
-    rates = [{s: (sum(v) + SMOOTHING * base) / (len(v) + SMOOTHING) for s, v in kind.items()} for kind in kinds]
-    model = UrlModel(rates[:4], rates[4], base)
+    model = UrlModel(_Rates(places, y, base), base)
     model.prior = float(np.log((base + 1e-3) / (1 - base + 1e-3)))
     if base in (0.0, 1.0):
         return model
-    raw = model.features(urls, places)
+    # a URL's own label and its host's aren't in the rates that it is trained with
+    fold = np.array([zlib.crc32(host.encode("utf-8", "surrogatepass")) % FOLDS for host, _ in places])
+    raw = np.zeros((len(urls), len(FEATURES)))
+    for k in range(FOLDS):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        raw[own] = _features([urls[i] for i in own], [places[i] for i in own], _Rates([places[i] for i in rest], y[rest], base))
     model.edges = [np.unique(np.quantile(raw[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(raw.shape[1])]
     x = model.binned(raw)
     total = np.full(len(y), model.prior)
@@ -174,7 +223,9 @@ def train(urls: list[str], blocked: list[bool]) -> UrlModel:
 
 
 def rule_labels(pages: DataFrame, url: str = "url", rules=RULES, most: int = MAX_TRAINING_ROWS) -> tuple[list[str], list[bool]]:
-    """Of the distinct URLs that a rule decides the `most` with the smallest hashes, or all, and whether it blocks them."""
+    """Labels for `train` from rules that do stand for a URL's kind, such as lists of known bad hosts.
+
+    Of the distinct URLs that a rule decides the `most` with the smallest hashes, or all, and whether it blocks them."""
     found = RuleSet(rules)
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +251,10 @@ def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
 
     The longest rule that fits decides; otherwise the trees do, blocking at a score of `threshold` or more.
     A null URL or one without `://` has an empty host and path, which no rule fits and the model allows: it
-    names no site. Repeated rows are judged alike; other columns are ignored; an empty table gives an
-    empty one. Without `model`, one is trained on at most MAX_TRAINING_ROWS of the URLs that a rule decides
-    and on the seeds.
+    names no site. Repeated rows and null or repeated ids are judged alike; other columns are ignored; an empty table gives an
+    empty one; a URL may have any length. Without `model`, the trees are trained on the seeds.
     """
-    if model is None:
-        known, seeded = rule_labels(pages, url, rules), seeds()
-        model = train(known[0] + seeded[0], known[1] + seeded[1])
+    model = model or train(*seeds())
     found = RuleSet(rules)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
