@@ -5,7 +5,7 @@ good quality. The probabilities are pooled by path and by site, in grouped sums
 between tasks. Each site's rate is a Beta posterior whose prior is the corpus's, each path's has its site's
 posterior as prior, and prior strengths are estimated from the spread between groups by the method of moments.
 So a site of few documents stays near the corpus, a large one near its own rate. A document's score adds the
-log-odds by which its path differs from the corpus to its own evidence.
+log-odds by which its path differs from the corpus, by the other documents there, to its own evidence.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, lookup, materialize, texts_of
 
-#: Most labelled documents that training reads: those with the smallest hash of their id.
+#: Most labelled documents that training reads: those with the smallest hash of their id. Each is sent to the driver
+#: as at most SHAPE + BUCKETS numbers, however long its text is.
 MAX_TRAINING_ROWS = 4_000
 BUCKETS, STEPS, RATE, PENALTY = 1 << 12, 300, 0.5, 1e-3
 #: How far a site's or path's log-odds may move a document's, and the least and most prior strength in documents.
@@ -86,13 +88,13 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 class QualityModel:
     """Logistic regression by full-batch gradient steps."""
 
-    def __init__(self, texts: list[str], good: list[bool]):
+    def __init__(self, features: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], good: list[bool]):
         y = np.asarray(good, float)
         self.dense, self.hashed = np.zeros(SHAPE), np.zeros(BUCKETS)
         self.base = float(y.mean()) if len(y) else 0.5
         if not len(y) or self.base in (0.0, 1.0):
             return
-        shape, rows, buckets, values = _features(texts)
+        shape, rows, buckets, values = features
         weight = np.where(y > 0, 0.5 / self.base, 0.5 / (1 - self.base))
         fast = np.zeros(SHAPE), np.zeros(BUCKETS)
         for _ in range(STEPS):
@@ -110,10 +112,29 @@ class QualityModel:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """A model of at most `most` documents with a label 0 or 1."""
-    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), (F.col(label) == 1).alias("good")).orderBy(F.xxhash64(doc_id), doc_id).limit(most)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id").orderBy("doc_id").collect()
-    return QualityModel([r.text or "" for r in rows], [r.good for r in rows])
+    """A model of at most `most` documents with a label 0 or 1.
+
+    A document with several labels is good if all of them are 1; of several texts with one id, that with the
+    smallest features counts; null ids and other labels don't. Tasks make the features, so no text comes to the driver.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(F.col(label) == 1).alias("good"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shape, rows, buckets, values = _features(texts_of(batch.column(2)))
+            ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (buckets.astype(np.int32), values)]
+            shapes = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SHAPE), pa.array(shape.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), shapes, *lists], names=["doc_id", "good", "shape", "buckets", "values"])
+
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "good", "text")
+    found = own.mapInArrow(measure, f"doc_id {dict(own.dtypes)['doc_id']}, good boolean, shape array<double>, buckets array<int>, values array<double>")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("good", "shape", "buckets", "values")).alias("own")).select("doc_id", "own.*").toArrow().sort_by("doc_id")
+    parts = [found.column(c).combine_chunks() for c in ("shape", "buckets", "values")]
+    sizes = pc.list_value_length(parts[1]).to_numpy(zero_copy_only=False).astype(np.int64)
+    shape, buckets, values = (pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in parts)
+    return QualityModel((shape.reshape(-1, SHAPE), np.repeat(np.arange(len(sizes)), sizes), buckets.astype(np.int64), values), found.column("good").to_pylist())
 
 
 def _strength(groups: DataFrame, mean: str, prior: str) -> float:
@@ -130,9 +151,11 @@ def _strength(groups: DataFrame, mean: str, prior: str) -> float:
 def quality_scores(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text", site: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
     """doc_id, site, path, evidence, site_rate, path_rate, score, kept of every row of docs.
 
-    evidence: the classifier's log-odds; rates: posterior shares of good documents; score: the combined
-    probability; kept: score >= threshold. Null text counts as empty; a null site or path is a group of its own;
-    repeated rows are scored alike and each count; an empty table gives an empty one; other columns are ignored.
+    evidence: the classifier's log-odds; rates: posterior shares of good documents of the site and path, without the
+    document itself, whose evidence counts once; score: the combined probability; kept: score >= threshold. Null text
+    counts as empty; a null site or path is a group of its own; repeated rows and null or repeated ids are scored alike
+    and each count; an empty table gives an empty one; other columns are ignored; a long text's words are counted
+    in one pass.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +172,13 @@ def quality_scores(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
     base = min(max(base, 1e-6), 1 - 1e-6)
     sites = paths.groupBy("site").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).withColumn("mean", F.col("good") / F.col("n")).withColumn("prior", F.lit(base))
     k = _strength(sites, "mean", "prior")
-    sites = sites.select(F.col("site").alias("_site"), ((F.col("good") + k * base) / (F.col("n") + k)).alias("site_rate"))
+    sites = sites.select(F.col("site").alias("_site"), F.col("good").alias("site_good"), F.col("n").alias("site_n"), ((F.col("good") + k * base) / (F.col("n") + k)).alias("prior"))
     paths = materialize(paths.join(sites, F.col("site").eqNullSafe(F.col("_site"))).drop("_site").withColumn("mean", F.col("good") / F.col("n")), "quality-rates")
-    k = _strength(paths, "mean", "site_rate")
-    paths = paths.select("key", "n", "site_rate", ((F.col("good") + k * F.col("site_rate")) / (F.col("n") + k)).alias("path_rate"))
-    found = lookup(seen, paths, "key", "n", rows)
+    m = _strength(paths, "mean", "prior")
+    found = lookup(seen, paths.select("key", "n", "good", "site_good", "site_n"), "key", "n", rows).withColumn("own", 1 / (1 + F.exp(-F.col("evidence"))))
+    # sums of doubles depend on their order; differences may be a little below 0
+    found = found.withColumn("site_rate", (F.greatest(F.col("site_good") - F.col("own"), F.lit(0.0)) + k * base) / (F.col("site_n") - 1 + k))
+    found = found.withColumn("path_rate", (F.greatest(F.col("good") - F.col("own"), F.lit(0.0)) + m * F.col("site_rate")) / (F.col("n") - 1 + m))
     odds = F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - float(np.log(base / (1 - base)))
     score = 1 / (1 + F.exp(-(F.col("evidence") + SITE_WEIGHT * odds)))
     return found.select("doc_id", "site", "path", "evidence", "site_rate", "path_rate", score.alias("score"), (score >= threshold).alias("kept"))

@@ -1,8 +1,11 @@
 """Operators that work row by row, or on groups of equal texts, against plain versions."""
 
 import hashlib
+import math
+import random
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -12,10 +15,10 @@ from tessera.llm import sql
 from tessera.llm.bpe import ForcedBoundaryBpe, bpe_digest
 from tessera.llm.exact_dedup import drop_copies, exact_dedup
 from tessera.llm.license_scan import license_scan, rules, scan_words
-from tessera.llm.quality_classifier import quality_scores, train_on
+from tessera.llm.quality_classifier import LEAST_STRENGTH, MOST_STRENGTH, SITE_WEIGHT, quality_scores, train_on
 from tessera.llm.quality_rules import keep_good, quality_rules
 from tessera.llm.secret_scan import FORMATS, Automaton, base_spans, default_automaton, find_secrets, labelled_credentials, redact, secret_scan
-from tessera.llm.url_filter import RULES, rule_labels, seeds, split_url, train, url_filter
+from tessera.llm.url_filter import BINS, FEATURES, RULES, seeds, split_url, train, url_filter
 from tests.llm.helpers import DATA, docs_frame, documents, edge_docs, oracle, rows_of
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -190,17 +193,31 @@ def test_url_rules_equal_plain_version(spark):
     assert url_filter(pages.limit(0)).count() == 0
 
 
-def test_url_model_on_held_out_urls(spark):
-    urls, blocked = rule_labels(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
-    more = seeds()
-    urls, blocked = urls + more[0], blocked + more[1]
-    model = train(urls[::2], blocked[::2])
-    test = urls[1::2]
-    scores = model.score(test, [split_url(u) for u in test])
-    assert sum((s >= 0.5) == b for s, b in zip(scores, blocked[1::2])) >= 0.95 * len(test)
+def test_url_model_on_held_out_urls():
+    urls, blocked = seeds()
+    side = [zlib.crc32(split_url(u)[0].encode()) % 3 == 0 for u in urls]
+    model = train([u for u, held in zip(urls, side) if not held], [b for b, held in zip(blocked, side) if not held])
+    test = [(u, b) for u, b, held in zip(urls, blocked, side) if held]
+    assert len(test) > 2000 and not {split_url(u)[0] for u, _ in test} & {split_url(u)[0] for u, held in zip(urls, side) if not held}
+    scores = model.score([u for u, _ in test], [split_url(u) for u, _ in test])
+    assert sum((s >= 0.5) == b for s, (_, b) in zip(scores, test)) >= 0.9 * len(test)
+    used = {FEATURES[k] for columns, cuts, _ in model.trees for k, cut in zip(columns, cuts) if cut <= BINS}
+    assert {"length", "depth", "digit_ratio", "entropy", "parameters", "top_suffix", "host_word"} <= used
     assert train([], []).trees == [] and train(["http://a.com/"], [True]).base_rate == 1.0
 
 
+def test_url_verdicts_follow_the_shape(spark):
+    plain = [f"https://{w}.example.{s}/{lang}/{n}{end}" for w in ("m.ththth", "blog.therion", "library", "www.tionble") for s in ("org", "net") for lang in ("en", "de") for n, end in ((7, ""), (530, "/"), (97, ".html"), (853, "?utm_source=feed"))]
+    spam = [f"http://{w}.example.org/en/{n}" for w in ("cheap-pills", "spam-farm", "best-casino", "free-loans4") for n in (3, 450)]
+    spam += ["http://x7f93a1c02.88ab13.top/a91f/00172/bb3e91/4471?id=93ab&ref=001&sid=7712ab&q=1", "https://buy-now-best-8831.example.net/en/a/b/44101/9921/77123/f?aff=1&click=9983&id=aa&sid=2&ref=1"]
+    pages = spark.createDataFrame(list(enumerate(plain + spam)), "page_id long, url string")
+    rows = url_filter(pages).collect()
+    assert all(r.rule is None for r in rows)
+    blocked = {r.page_id for r in rows if r.verdict == "block"}
+    assert len([k for k in blocked if k < len(plain)]) <= 0.05 * len(plain)
+    assert all(k in blocked for k in range(len(plain), len(plain) + len(spam)))
+
+
 def test_quality_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     found = quality_scores(docs, train_on(docs, labels.filter("doc_id % 2 = 0")))
@@ -221,6 +238,45 @@ def test_quality_classifier_shrinks_sparse_sites(spark):
     assert quality_scores(edge.limit(0), train_on(docs, labels.limit(0))).count() == 0
 
 
+def test_quality_posteriors_equal_plain_version(spark):
+    """Moments, Beta posteriors without the document itself and scores, from the evidence alone."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (None, 0), (3, 7)], "doc_id long, quality int")
+    draw = random.Random(3)
+    body = lambda: " ".join(draw.choice(("good", "words", "here.", "### bad", "$$$")) for _ in range(draw.randrange(0, 30)))
+    sites = ["hot"] * 200 + ["s%d" % (i % 9) for i in range(60)] + [None] * 5 + ["lone"]
+    docs = spark.createDataFrame([(i, body(), s, draw.choice(("en", "de", None))) for i, s in enumerate(sites)], "doc_id long, text string, source string, lang string")
+    rows = quality_scores(docs, train_on(docs, labels)).collect()
+    assert len(rows) == len(sites)
+    p = {r.doc_id: 1 / (1 + math.exp(-r.evidence)) for r in rows}
+    base = sum(p.values()) / len(p)
+
+    def groups(key):
+        found = defaultdict(list)
+        for r in rows:
+            found[key(r)].append(p[r.doc_id])
+        return found
+
+    def strength(pairs):
+        n = sum(len(x) for x, _ in pairs)
+        if n <= len(pairs):
+            return LEAST_STRENGTH
+        within = sum(q * (1 - q) for _, q in pairs) / len(pairs)
+        between = max(0.0, sum(len(x) * (sum(x) / len(x) - q) ** 2 for x, q in pairs) / n - within * len(pairs) / n)
+        return min(max(within / between - 1 if between else MOST_STRENGTH, LEAST_STRENGTH), MOST_STRENGTH)
+
+    by_site, by_path = groups(lambda r: r.site), groups(lambda r: (r.site, r.path))
+    k = strength([(x, base) for x in by_site.values()])
+    prior = {s: (sum(x) + k * base) / (len(x) + k) for s, x in by_site.items()}
+    m = strength([(x, prior[s]) for (s, _), x in by_path.items()])
+    for r in rows:
+        own, site, path = p[r.doc_id], by_site[r.site], by_path[r.site, r.path]
+        site_rate = (sum(site) - own + k * base) / (len(site) - 1 + k)
+        path_rate = (sum(path) - own + m * site_rate) / (len(path) - 1 + m)
+        odds = r.evidence + SITE_WEIGHT * (math.log(path_rate / (1 - path_rate)) - math.log(base / (1 - base)))
+        assert (r.site_rate, r.path_rate, r.score) == pytest.approx((site_rate, path_rate, 1 / (1 + math.exp(-odds))), rel=1e-6)
+        assert r.kept == (r.score >= 0.5)
+
+
 @pytest.mark.parametrize("operator", [exact_dedup, quality_rules, license_scan, secret_scan, lambda d: bpe_digest(d, WORD_BPE)])
 def test_empty_tables(spark, operator):
     assert operator(docs_frame(spark, edge_docs()).limit(0)).count() == 0
