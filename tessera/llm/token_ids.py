@@ -18,7 +18,7 @@ from tessera.llm.common import release_memory
 #: Most pieces whose ids a worker keeps; further ones are encoded once for each run of texts.
 MAX_KEPT = 800_000
 #: Seconds without a text after which a worker, which Spark keeps for other work, drops its kept pieces.
-IDLE_SECONDS = 5.0
+IDLE_SECONDS = 20.0
 #: Words that the library encodes as one text.
 JOINED = 2_000
 #: Characters of text whose pieces are held at once; a longer text is on its own.

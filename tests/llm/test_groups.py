@@ -1,8 +1,9 @@
 """Joins, files, packing and the pipeline against plain versions."""
 
 import io
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -220,6 +221,27 @@ def test_packing_holds_the_mixture(spark):
     assert np.mean([abs(s - 0.25) < 0.1 for s in shares]) > 0.9
 
 
+def test_packing_holds_a_mixture_unlike_the_corpus(spark):
+    """0.8 to 0.2 over a corpus of 0.5 to 0.5: while both last, then one source alone; a source without a target comes last."""
+    draw = random.Random(5)
+    rows = [(i, " ".join(draw.choices(["alpha", "beta", "gamma", "delta"], k=draw.randrange(5, 120)))) for i in range(4000)]
+    docs = spark.createDataFrame([(d, t, "ab"[d % 2] if d % 21 else "c") for d, t in rows], "doc_id long, text string, source string")
+    shares = spark.createDataFrame([("a", 0.8), ("b", 0.2)], "source string, share double")
+    found = pack(docs, BYTE_BPE, 1, length=256, shares=shares, shard_tokens=1 << 14, least=16).collect()
+    check_packing(found, rows, 256, 60)
+    windows = defaultdict(Counter)
+    for r in found:
+        windows[r.sequence_id][r.source] += r.length
+    ordered = [windows[k] for k in sorted(windows)]
+    last_of = {s: max(k for k, w in enumerate(ordered) if w[s]) for s in "abc"}
+    assert last_of["a"] < last_of["b"] and min(k for k, w in enumerate(ordered) if w["c"]) >= last_of["b"] - 2
+    both = ordered[: last_of["a"] - 2]
+    assert len(both) > 500 and sum(w["a"] for w in both) / sum(w.total() for w in both) == pytest.approx(0.8, abs=0.01)
+    assert all(sum(w["a"] for w in both[k : k + 8]) / sum(w.total() for w in both[k : k + 8]) == pytest.approx(0.8, abs=0.05) for k in range(len(both) - 8))
+    with pytest.raises(ValueError):
+        pack(docs, BYTE_BPE, 1, shares=shares.union(shares))
+
+
 def test_packing_empty(spark):
     assert pack(docs_frame(spark, edge_docs()).limit(0), BYTE_BPE, 1).count() == 0
 
