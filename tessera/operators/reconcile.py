@@ -7,12 +7,12 @@ they are gathered by key, so a key with many rows shuffles one row for each dist
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import THOUSANDS, compare_key, format_12g, is_blank, join_key, normal, parse_number, without_spaces
+from tessera.functions.text import THOUSANDS, WHITE, compare_key, format_12g, is_blank, join_key, normal, parse_number, without_spaces
 
 MATCH, MISMATCH, REVIEW = 0, 1, 2
 #: Two capacities agree if they differ by no more, in double arithmetic.
@@ -102,41 +102,47 @@ def resolve_capacity(frame: DataFrame, text: str, name: str, strict: bool = Fals
     return frame.withColumn("capacity", whole).drop("_text", "_name", "_class", "_modes", "_hints", "_best", "_by_hint", "_tops", "_picked")
 
 
-def _firsts(items: Column, key: str) -> Column:
-    """The first item of each non-empty value of `key`, in order."""
-    known = F.filter(items, lambda x: x[key] != "")
-    return F.filter(known, lambda x, i: F.array_position(F.transform(known, lambda y: y[key]), x[key]) == i + 1)
-
+def _clean_observed(observed: DataFrame, unicode: bool) -> DataFrame:
+    text = lambda c: normal(F.col(c).cast("string"), unicode)
+    return observed.select("ord", join_key(F.col("id").cast("string"), unicode).alias("key"), text("id").alias("raw_id"), text("drawing_no").alias("drawing"), text("name").alias("name"), text("capacity_text").alias("capacity"), text("voltage").alias("voltage"))
 
-def _gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, items: the distinct (drawing, name, capacity) texts of each key with their counts, in order of first row."""
-    distinct = rows.groupBy(*keys, "drawing", "name", "capacity").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("times"))
-    distinct = distinct.withColumn("variant", classify_capacity(F.col("capacity"), False))
-    item = F.struct("first", "drawing", "name", "capacity", "times", "variant", compare_key(F.col("name"), False).alias("name_key"), compare_key(F.col("drawing"), False).alias("drawing_key"), F.when(F.col("variant.kind") != "blank", F.concat_ws("|", "variant.kind", "variant.display")).otherwise("").alias("variant_key"))
-    return distinct.groupBy(*keys).agg(F.sum("times").alias("n"), F.min("first").alias("first"), F.sort_array(F.collect_list(item)).alias("items"))
 
+def observed_groups(observed: DataFrame, unicode: bool = True) -> DataFrame:
+    """One row for each key, and for each different content among rows without a key that say something.
+
+    key, print (null where there is a key), n, first (the least ord), shown_id, names, drawings, variants, capacity (the
+    first row's), trace. Rows are counted by distinct text first, and a list's items are thinned to the first of each
+    value before they are gathered, so a key with many rows never gathers more than its different texts.
+    """
+    rows = _clean_observed(observed, unicode).filter("key IS NOT NULL OR concat(name, voltage, capacity, drawing) <> ''")
+    content = F.concat_ws("\u0001", *(compare_key(F.col(c), False) for c in ("name", "voltage", "capacity", "drawing")))
+    rows = rows.withColumn("print", F.when(F.col("key").isNull(), content))
+    same = ["key", "print"]
+    rows = rows.groupBy(*same, "drawing", "name", "capacity").agg(F.min("ord").alias("first"), F.min_by("raw_id", "ord").alias("id"), F.count(F.lit(1)).alias("times"))
+    rows = rows.withColumn("variant", classify_capacity(F.col("capacity"), False))
+    values = {"name": compare_key(F.col("name"), False), "drawing": compare_key(F.col("drawing"), False), "variant": F.when(F.col("variant.kind") != "blank", F.concat_ws("|", "variant.kind", "variant.display")).otherwise("")}
+    place = F.struct("first", "drawing", "name", "capacity")
+    for c, value in values.items():
+        rows = rows.withColumn(f"{c}_key", value)
+        rows = rows.withColumn(f"{c}_new", (F.col(f"{c}_key") != "") & (F.row_number().over(Window.partitionBy(*same, f"{c}_key").orderBy("first", "drawing", "name", "capacity")) == 1))
+
+    def listed(c: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(F.col(f"{c}_new"), F.struct(place.alias("at"), F.col(c).alias("shown"))))), lambda x: x["shown"])
 
-def _lists(frame: DataFrame) -> DataFrame:
-    """The ordered lists that are shown: names, drawings, variants, trace."""
-    items = F.col("items")
     part = lambda c: F.when(c == "", "?").otherwise(c)
     line = lambda x: F.concat(F.lit("図面:"), part(x["drawing"]), F.lit(" 名称:"), part(x["name"]), F.lit(" 容量:"), part(x["capacity"]), F.when(x["times"] > 1, F.concat(F.lit(" x"), x["times"].cast("string"))).otherwise(""))
-    return (
-        frame.withColumn("names", F.transform(_firsts(items, "name_key"), lambda x: x["name"]))
-        .withColumn("drawings", F.transform(_firsts(items, "drawing_key"), lambda x: x["drawing"]))
-        .withColumn("variants", F.transform(_firsts(items, "variant_key"), lambda x: x["variant"]))
-        .withColumn("trace", F.when(F.size(items) > 1, F.array_join(F.transform(items, line), " || ")).otherwise(""))
-    )
-
-
-def _clean_observed(observed: DataFrame, unicode: bool) -> DataFrame:
-    text = lambda c: normal(F.col(c).cast("string"), unicode)
-    return observed.select("ord", join_key(F.col("id").cast("string"), unicode).alias("key"), text("id").alias("raw_id"), text("drawing_no").alias("drawing"), text("name").alias("name"), text("capacity_text").alias("capacity"), text("voltage").alias("voltage"))
+    items = F.sort_array(F.collect_list(F.struct("first", "drawing", "name", "capacity", "times")))
+    groups = rows.groupBy(*same).agg(
+        F.sum("times").alias("n"), F.min("first").alias("first"), F.min_by("id", "first").alias("shown_id"), F.min_by("capacity", place).alias("capacity"),
+        listed("name").alias("names"), listed("drawing").alias("drawings"), listed("variant").alias("variants"), items.alias("items"),
+    )
+    trace = F.when(F.size("items") > 1, F.array_join(F.transform("items", line), " || ")).otherwise("")
+    return groups.withColumn("trace", trace).drop("items")
 
 
 def observed_by_key(observed: DataFrame, unicode: bool = True) -> DataFrame:
-    """One row for each non-blank key: key, n, first, items and the ordered lists."""
-    return _lists(_gathered(_clean_observed(observed, unicode).filter("key IS NOT NULL"), ["key"]))
+    """The groups of observed_groups that have a key."""
+    return observed_groups(observed, unicode).filter("key IS NOT NULL")
 
 
 def judge_quantity(declared_qty: Column, n: Column) -> tuple[Column, Column]:
@@ -168,19 +174,23 @@ def judge_name(name: Column, names: Column, n: Column) -> Column:
     return F.when(n.isNull(), MISMATCH).when((name == "") | (F.size(names) == 0), REVIEW).when((F.size(names) == 1) & same, MATCH).otherwise(MISMATCH)
 
 
-def declared_rows(declared: DataFrame, gathered: DataFrame, strict: bool = False, unicode: bool = True) -> DataFrame:
-    """Every declared row, duplicates kept, with its judgements, ord and segment 0."""
+def _declared(declared: DataFrame, strict: bool, unicode: bool) -> DataFrame:
+    """Declared rows with their key, resolved capacity and the drawings of their key."""
     text = lambda c: normal(F.col(c).cast("string"), unicode)
-    own = declared.select("ord", F.col("id").cast("string").alias("id"), join_key(F.col("id").cast("string"), unicode).alias("key"), text("name").alias("name"), F.col("capacity_text").cast("string").alias("capacity_text"), parse_number(F.col("qty").cast("string"), unicode).alias("qty"), text("drawing_no").alias("drawing"))
-    own = resolve_capacity(own, "capacity_text", "name", strict, unicode)
-    drawings = own.filter("key IS NOT NULL AND drawing <> ''").groupBy("key", compare_key(F.col("drawing"), False).alias("d")).agg(F.min(F.struct("ord", "drawing")).alias("first"))
-    drawings = drawings.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list("first")), lambda x: x["drawing"]), ",").alias("declared_drawing"))
-    frame = own.join(drawings, "key", "left").join(gathered.select("key", "n", "names", "drawings", "variants", "trace"), "key", "left")
-    n, names = F.col("n"), F.coalesce("names", F.array().cast("array<string>"))
+    own = declared.select(F.col("ord").alias("declared_ord"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), join_key(F.col("id").cast("string"), unicode).alias("own_key"), text("name").alias("name"), F.col("capacity_text").cast("string").alias("capacity_text"), parse_number(F.col("qty").cast("string"), unicode).alias("qty"), text("drawing_no").alias("drawing"))
+    drawings = own.filter("own_key IS NOT NULL AND drawing <> ''").groupBy("own_key", compare_key(F.col("drawing"), False).alias("d")).agg(F.min(F.struct("declared_ord", "drawing")).alias("first"))
+    drawings = drawings.groupBy("own_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list("first")), lambda x: x["drawing"]), ",").alias("declared_drawing"))
+    return resolve_capacity(own, "capacity_text", "name", strict, unicode).join(drawings, "own_key", "left").withColumn("is_declared", F.lit(True))
+
+
+def _judged(frame: DataFrame) -> DataFrame:
+    """The output columns of declared rows joined with their groups, and of groups that no declared row has (is_declared null)."""
+    n, mine = F.col("n"), F.coalesce("is_declared", F.lit(False))
+    names = F.coalesce("names", F.array().cast("array<string>"))
     variants = F.coalesce("variants", F.array().cast("array<struct<kind:string,value:double,display:string>>"))
     frame = frame.withColumn("declared_name", without_spaces(F.col("name"))).withColumn("names", names).withColumn("variants", variants)
     qty_code, qty_diff = judge_quantity(F.col("qty"), n)
-    code, diff, why = judge_capacity(F.col("capacity.kind"), F.col("capacity.value"), F.col("variants"), n)
+    code, diff, why = judge_capacity(F.col("picked.kind"), F.col("picked.value"), F.col("variants"), n)
     frame = frame.withColumn("q", qty_code).withColumn("qty_gap", qty_diff).withColumn("c", code).withColumn("c_gap", diff).withColumn("c_why", why)
     frame = frame.withColumn("m", judge_name(F.col("declared_name"), F.col("names"), n)).withColumn("o", F.greatest("q", "c", "m"))
     to_review = F.coalesce(F.when(F.col("q") == REVIEW, QTY_GAP), F.when(F.col("c") == REVIEW, F.col("c_why")), F.when(F.col("m") == REVIEW, NO_NAME))
@@ -188,47 +198,147 @@ def declared_rows(declared: DataFrame, gathered: DataFrame, strict: bool = False
         F.when(n.isNull(), ABSENT), F.when(F.col("q") == MISMATCH, F.concat(F.lit(QTY_DIFF), format_12g(F.col("qty_gap")))), F.when(F.col("c") == MISMATCH, F.col("c_why")), F.when(F.col("m") == MISMATCH, OTHER_NAME)
     )
     reason = F.when(F.col("o") == MATCH, "").when(F.col("o") == REVIEW, F.coalesce(to_review, differs)).otherwise(F.coalesce(differs, to_review))
-    return frame.select(
-        F.lit(0).alias("segment"), "ord", mark(F.col("o")).alias("overall"), mark(F.col("q")).alias("qty_code"), mark(F.col("c")).alias("capacity_code"), mark(F.col("m")).alias("name_code"),
-        F.when(F.col("o") == REVIEW, MARKS[REVIEW]).when(n.isNull(), MARKS[MISMATCH]).otherwise(MARKS[MATCH]).alias("id_match"), reason.alias("reason"), F.coalesce("id", F.lit("")).alias("id"),
-        "declared_name", F.array_join("names", ",").alias("observed_names"), format_12g(F.col("qty")).alias("declared_qty"), F.coalesce(n, F.lit(0)).cast("string").alias("observed_qty"), format_12g(F.col("qty_gap")).alias("qty_diff"),
-        F.col("capacity.display").alias("declared_capacity"), F.col("capacity.mode_values").alias("mode_values"), F.col("capacity.mode").alias("selected_mode"), F.col("capacity.shown").alias("selected_capacity"), F.col("capacity.note").alias("capacity_note"),
-        F.array_join(F.transform("variants", lambda v: v["display"]), ",").alias("observed_capacity"), format_12g(F.col("c_gap")).alias("capacity_diff"), F.coalesce("declared_drawing", F.lit("")).alias("declared_drawing"),
-        F.coalesce(F.array_join("drawings", ","), F.lit("")).alias("observed_drawing"), F.coalesce("trace", F.lit("")).alias("trace"),
-    )
+    keyed = F.col("key").isNotNull()
+    other = F.when(keyed, MARKS[MISMATCH]).otherwise(MARKS[REVIEW])
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    gathered = lambda c: F.when(mine | keyed, F.array_join(c, ",")).otherwise(first(F.col(c)))
+    capacities = F.array_join(F.transform("variants", lambda v: v["display"]), ",")
+    own = {  # column: value of a declared row, value of another row
+        "overall": (mark(F.col("o")), other), "qty_code": (mark(F.col("q")), other), "capacity_code": (mark(F.col("c")), other), "name_code": (mark(F.col("m")), other),
+        "id_match": (F.when(F.col("o") == REVIEW, MARKS[REVIEW]).when(n.isNull(), MARKS[MISMATCH]).otherwise(MARKS[MATCH]), other),
+        "reason": (reason, F.when(keyed, UNDECLARED).otherwise(NO_ID)), "id": (F.col("id"), F.when(keyed, F.col("shown_id")).otherwise("")),
+        "observed_names": (gathered("names"),) * 2, "observed_qty": (F.coalesce(n, F.lit(0)).cast("string"),) * 2, "observed_capacity": (capacities, F.when(keyed, capacities).otherwise(F.col("capacity"))),
+        "observed_drawing": (F.coalesce(gathered("drawings"), F.lit("")),) * 2, "trace": (F.coalesce("trace", F.lit("")),) * 2,
+        "declared_name": (F.col("declared_name"), F.lit("")), "declared_qty": (format_12g(F.col("qty")), F.lit("")), "qty_diff": (format_12g(F.col("qty_gap")), F.lit("")), "capacity_diff": (format_12g(F.col("c_gap")), F.lit("")),
+        "declared_drawing": (F.coalesce("declared_drawing", F.lit("")), F.lit("")), "declared_capacity": (F.col("picked.display"), F.lit("")), "mode_values": (F.col("picked.mode_values"), F.lit("")),
+        "selected_mode": (F.col("picked.mode"), F.lit("")), "selected_capacity": (F.col("picked.shown"), F.lit("")), "capacity_note": (F.col("picked.note"), F.lit("")),
+    }
+    segment = F.when(mine, 0).when(keyed, 1).otherwise(2)
+    return frame.select(segment.alias("segment"), "ord", *(F.when(mine, own[c][0]).otherwise(own[c][1]).alias(c) for c in DISPLAY))
+
+
+def _ord(column: str, as_text: bool) -> Column:
+    return F.to_json(F.struct(F.col(column).alias("ord"))) if as_text else F.col(column)
 
 
-def _only_observed(frame: DataFrame, segment: int, code: int, reason: str, names: Column, capacity: Column, drawing: Column, id: Column) -> DataFrame:
-    shown = F.lit(MARKS[code])
-    empty = {c: F.lit("") for c in ("declared_name", "declared_qty", "qty_diff", "declared_capacity", "mode_values", "selected_mode", "selected_capacity", "capacity_note", "capacity_diff", "declared_drawing")}
-    own = {"overall": shown, "qty_code": shown, "capacity_code": shown, "name_code": shown, "id_match": shown, "reason": F.lit(reason), "id": id, "observed_names": names, "observed_qty": F.col("n").cast("string"), "observed_capacity": capacity, "observed_drawing": drawing, "trace": F.col("trace")} | empty
-    return frame.select(F.lit(segment).alias("segment"), F.col("first").alias("ord"), *(own[c].alias(c) for c in DISPLAY))
+def declared_rows(declared: DataFrame, gathered: DataFrame, strict: bool = False, unicode: bool = True) -> DataFrame:
+    """Every declared row, duplicates kept, with its judgements, ord and segment 0. gathered: observed_by_key."""
+    own = _declared(declared, strict, unicode).withColumnRenamed("capacity", "picked")
+    return _judged(own.join(gathered, F.col("own_key") == F.col("key"), "left").withColumn("ord", F.col("declared_ord")))
+
 
+def _undeclared(groups: DataFrame) -> DataFrame:
+    """The output columns of groups that no declared row has."""
+    none = {"declared_ord": "string", "id": "string", "name": "string", "qty": "double", "declared_drawing": "string", "is_declared": "boolean", "picked": "struct<display:string,mode_values:string,mode:string,kind:string,value:double,shown:string,note:string>"}
+    return _judged(groups.withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"ord": F.col("first")}))
 
-def observed_only_rows(declared: DataFrame, gathered: DataFrame, observed: DataFrame, unicode: bool = True) -> DataFrame:
-    """Keys that no declared row has, segment 1; the id shown is the first one written."""
+
+def observed_only_rows(declared: DataFrame, gathered: DataFrame, unicode: bool = True) -> DataFrame:
+    """Keys that no declared row has, segment 1; the id shown is the first one written. gathered: observed_by_key."""
     keys = declared.select(join_key(F.col("id").cast("string"), unicode).alias("key")).filter("key IS NOT NULL").distinct()
-    ids = _clean_observed(observed, unicode).filter("key IS NOT NULL").groupBy("key").agg(F.min_by("raw_id", "ord").alias("shown_id"))
-    rest = gathered.join(keys, "key", "left_anti").join(ids, "key")
-    return _only_observed(rest, 1, MISMATCH, UNDECLARED, F.array_join("names", ","), F.array_join(F.transform("variants", lambda v: v["display"]), ","), F.array_join("drawings", ","), F.col("shown_id"))
+    return _undeclared(gathered.join(keys, "key", "left_anti"))
 
 
 def missing_id_rows(observed: DataFrame, unicode: bool = True) -> DataFrame:
     """Observed rows without an id, grouped by all they say, segment 2; wholly blank rows are dropped."""
-    rows = _clean_observed(observed, unicode).filter("key IS NULL AND concat(name, voltage, capacity, drawing) <> ''")
-    keys = [compare_key(F.col(c), False).alias(f"{c}_print") for c in ("name", "voltage", "capacity", "drawing")]
-    rows = rows.select("*", *keys)
-    groups = _lists(_gathered(rows, [f"{c}_print" for c in ("name", "voltage", "capacity", "drawing")]))
-    first = lambda c: F.coalesce(F.get(F.filter("items", lambda x: x[c] != ""), F.lit(0))[c], F.lit(""))
-    return _only_observed(groups, 2, REVIEW, NO_ID, first("name"), F.get("items", F.lit(0))["capacity"], first("drawing"), F.lit(""))
+    return _undeclared(observed_groups(observed, unicode).filter("key IS NULL"))
 
 
 def reconcile(declared: DataFrame, observed: DataFrame, strict: bool = False, unicode: bool = True) -> DataFrame:
-    """All three segments: segment, ord and the columns of DISPLAY. Order by segment and ord to show them."""
-    gathered = observed_by_key(observed, unicode)
-    parts = [declared_rows(declared, gathered, strict, unicode), observed_only_rows(declared, gathered, observed, unicode), missing_id_rows(observed, unicode)]
-    parts = [p.withColumn("ord", F.to_json(F.struct("ord"))) if declared.schema["ord"].dataType != observed.schema["ord"].dataType else p for p in parts]
-    return reduce(DataFrame.unionByName, parts)
+    """All three segments: segment, ord and the columns of DISPLAY. Order by segment and ord to show them.
+
+    One outer join gives all of them: what has no declared row is segment 1, or 2 without a key. Rows and groups
+    without a key join with nothing; a hash in place of their key spreads them.
+    """
+    as_text = declared.schema["ord"].dataType != observed.schema["ord"].dataType
+    own, groups = _declared(declared, strict, unicode).withColumnRenamed("capacity", "picked"), observed_groups(observed, unicode)
+    spread = lambda key, side, row: F.coalesce(F.col(key), F.concat(F.lit(f"\u0000{side}"), F.xxhash64(row).cast("string")))
+    own, groups = own.withColumn("_at", spread("own_key", "d", "declared_ord")), groups.withColumn("_on", spread("key", "o", "print"))
+    both = own.join(groups, F.col("_at") == F.col("_on"), "full_outer")
+    return _judged(both.withColumn("ord", F.coalesce(_ord("declared_ord", as_text), _ord("first", as_text)) if not as_text else F.when(F.col("is_declared"), _ord("declared_ord", True)).otherwise(_ord("first", True))))
+
+
+#: Spellings of the judgements in older tables, and of the ids' judgement where it is shown.
+JUDGEMENTS = {"◯": ("一致", "○", "◯", "match"), "✗": ("不一致", "×", "✗", "mismatch"), "要確認": ("判定不可", "要確認", "review")}
+ID_MARKS = {"◯": "○", "✗": "×"}
+#: Shown column: the columns that it comes from, in order of priority.
+SUMMARY_COLUMNS = {
+    "総合判定": ("総合判定", "照合結果", "総合判定(◯/✗)", "総合判定(○/×)"),
+    "機器ID照合": ("機器ID照合",),
+    "判定理由": ("判定理由", "不一致内容", "確認理由", "不一致理由"),
+    "機器ID": ("機器ID", "機器番号", "機械番号"),
+    "電気図 台数": ("電気図 台数", "raster_match_count", "raster_台数_calc"),
+    "電気図 記載名": ("電気図 記載名", "電気図記載名"),
+    "電気図 容量(kW)": ("電気図 容量(kW)", "電気図 容量合計(kW)", "raster_容量(kW)_sum"),
+    "電気図 図面番号": ("電気図 図面番号", "図面番号", "図番"),
+    "電気図 記載トレース": ("電気図 記載トレース",),
+}
+CUSTOMER_COLUMNS = {
+    "機器ID": ("機器ID", "機器番号", "機械番号"),
+    "ID照合": ("機器ID照合",),
+    "図面番号_電気図": ("電気図 図面番号", "図面番号", "図番"),
+    "図面番号_機械図": ("機械図 図面番号", "機械図図面番号"),
+    "容量_電気図": ("電気図 容量(kW)", "電気図 容量合計(kW)", "raster_容量(kW)_sum"),
+    "容量_機械図": ("機械図 判定採用容量(kW)", "機械図 消費電力(kW)", "機械図 容量合計(kW)", "vector_容量(kW)_calc"),
+    "容量_差分": ("容量差(kW)", "容量差分(kW)"),
+    "台数_電気図": ("電気図 台数", "raster_match_count", "raster_台数_calc"),
+    "台数_機械図": ("機械図 台数", "台数", "vector_台数_numeric"),
+    "台数_差分": ("台数差", "台数差（電気図-機械図）", "台数差分"),
+}
+
+
+def judgement(text: Column) -> Column:
+    """A judgement's mark, whichever way it is spelt; other texts stripped."""
+    bare = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(WHITE))
+    found = bare
+    for shown, spellings in JUDGEMENTS.items():
+        found = F.when(bare.isin(*spellings), F.lit(shown)).otherwise(found)
+    return found
+
+
+def id_mark(text: Column) -> Column:
+    """The mark shown for an id's judgement."""
+    own = judgement(text)
+    return F.when(own == MARKS[MATCH], ID_MARKS[MARKS[MATCH]]).when(own == MARKS[MISMATCH], ID_MARKS[MARKS[MISMATCH]]).otherwise(own)
+
+
+def _picked_columns(frame: DataFrame, columns: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """The value of the first column that the table has and that isn't null: by name, then by name without blanks and width."""
+    plain = lambda x: unicodedata.normalize("NFKC", x).replace(" ", "").replace("　", "")
+    known = {plain(c): c for c in frame.columns}
+    found = {}
+    for shown, names in columns.items():
+        own = [n for n in names if n in frame.columns] + [known[plain(n)] for n in names if plain(n) in known]
+        found[shown] = F.coalesce(*(F.col(f"`{c}`").cast("string") for c in own), F.lit(""))
+    return found
+
+
+def customer_rows(frame: DataFrame) -> DataFrame:
+    """The nine columns that the counts look at, of a table labelled as by `display` or in an older way."""
+    own = _picked_columns(frame, SUMMARY_COLUMNS)
+    return frame.select(*((judgement(v) if c in ("総合判定", "機器ID照合") else v).alias(c) for c, v in own.items()))
+
+
+def customer_display(frame: DataFrame) -> DataFrame:
+    """The ten columns that customers see, of a table labelled as by `display` or in an older way."""
+    own = _picked_columns(frame, CUSTOMER_COLUMNS)
+    return frame.select(*((id_mark(v) if c == "ID照合" else v).alias(c) for c, v in own.items()))
+
+
+def customer_summary(rows: DataFrame, n_declared: int | None = None, n_observed: int | None = None) -> DataFrame:
+    """One row of five counts of customer_rows: declared, observed, ids that match, rows that differ, rows for review.
+
+    n_declared and n_observed, where given, stand for the first two, 0 at least.
+    """
+    full = lambda c: F.btrim(F.col(f"`{c}`"), F.lit(WHITE)) != ""
+    said = full("電気図 記載名") | full("電気図 容量(kW)") | full("電気図 図面番号") | full("電気図 記載トレース")
+    own = full("機器ID") & (F.btrim("判定理由", F.lit(WHITE)) != UNDECLARED)
+    seen = said | (F.coalesce(parse_number(F.col("`電気図 台数`"), False), F.lit(0.0)) > 0)
+    count = lambda given, test: F.count_if(test) if given is None else F.lit(max(0, given)).cast("long")
+    return rows.agg(
+        count(n_declared, own).alias("機械図記載"), count(n_observed, seen).alias("電気図記載"), F.count_if(F.col("機器ID照合") == MARKS[MATCH]).alias("ID照合一致"),
+        F.count_if(F.col("総合判定") == MARKS[MISMATCH]).alias("不一致"), F.count_if(F.col("総合判定") == MARKS[REVIEW]).alias("要確認"),
+    )
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -244,8 +354,6 @@ def display(rows: DataFrame) -> DataFrame:
 
 def resolve_headers(columns: list[str], aliases: dict[str, list[str]], required: set[str]) -> dict[str, str]:
     """Role -> column: the first alias that a column has, blanks, width and case apart; of equal columns the last."""
-    import unicodedata
-
     plain = lambda x: unicodedata.normalize("NFKC", x).replace(" ", "").replace("　", "").lower()
     known = {plain(c): c for c in columns}
     found = {role: hit for role, names in aliases.items() if (hit := next((known[plain(a)] for a in names if plain(a) in known), None))}

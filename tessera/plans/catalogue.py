@@ -149,8 +149,7 @@ def reconcile_reason(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_with() + "SELECT * EXCLUDE (segment) FROM only_part")
 def reconcile_observed_only(spark: SparkSession, folder: str) -> DataFrame:
-    seen = observed(spark, folder)
-    return reconcile.observed_only_rows(declared(spark, folder), reconcile.observed_by_key(seen, False), seen, False).drop("segment", "ord")
+    return reconcile.observed_only_rows(declared(spark, folder), reconcile.observed_by_key(observed(spark, folder), False), False).drop("segment", "ord")
 
 
 @query(_with() + "SELECT * EXCLUDE (segment) FROM missing_part")
@@ -177,6 +176,28 @@ def reconcile_summary(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.summary(reconcile.reconcile(declared(spark, folder), observed(spark, folder), unicode=False))
 
 
+@query(
+    _with()
+    + f"""SELECT count(*) FILTER (id <> '' AND reason <> '{reconcile.UNDECLARED}') AS "機械図記載", count(*) FILTER (observed_names || observed_capacity || observed_drawing || trace <> '' OR CAST(observed_qty AS INT) > 0) AS "電気図記載",
+    count(*) FILTER (id_match = '◯') AS "ID照合一致", count(*) FILTER (overall = '✗') AS "不一致", count(*) FILTER (overall = '要確認') AS "要確認"
+    FROM (SELECT * FROM declared_part UNION ALL SELECT * FROM only_part UNION ALL SELECT * FROM missing_part)"""
+)
+def customer_summary(spark: SparkSession, folder: str) -> DataFrame:
+    rows = reconcile.reconcile(declared(spark, folder), observed(spark, folder), unicode=False)
+    return reconcile.customer_summary(reconcile.customer_rows(rows.select(*(F.col(c).alias(label) for c, label in reconcile.DISPLAY.items()))))
+
+
+@query(
+    _with()
+    + """SELECT id AS "機器ID", CASE id_match WHEN '◯' THEN '○' WHEN '✗' THEN '×' ELSE id_match END AS "ID照合", observed_drawing AS "図面番号_電気図", declared_drawing AS "図面番号_機械図", observed_capacity AS "容量_電気図",
+    selected_capacity AS "容量_機械図", capacity_diff AS "容量_差分", observed_qty AS "台数_電気図", declared_qty AS "台数_機械図", qty_diff AS "台数_差分"
+    FROM (SELECT * FROM declared_part UNION ALL SELECT * FROM only_part UNION ALL SELECT * FROM missing_part)"""
+)
+def customer_display(spark: SparkSession, folder: str) -> DataFrame:
+    rows = reconcile.reconcile(declared(spark, folder), observed(spark, folder), unicode=False)
+    return reconcile.customer_display(rows.select(*(F.col(c).alias(label) for c, label in reconcile.DISPLAY.items())))
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, '' AS capacity_text, CAST(n_regionkey AS VARCHAR) AS qty, '' AS drawing_no FROM nation")
 def header_role_resolution(spark: SparkSession, folder: str) -> DataFrame:
     n = read_table(spark, folder, "nation")
