@@ -110,8 +110,15 @@ def equipment_code(text: Column, unicode: bool = True) -> Column:
 
 
 def looks_like_code(text: Column) -> Column:
-    """Groups of A-Z, 0-9 and wave dashes, two or more joined by dashes, with a digit somewhere."""
-    return text.rlike(r"^(?=.*\d)[A-Z0-9～~]+(-[A-Z0-9～~]+)+$")
+    """Groups of A-Z, 0-9 and wave dashes joined by dashes, with a digit somewhere."""
+    return text.rlike(r"^(?=.*\d)[A-Z0-9～~]+(-[A-Z0-9～~]+)*$")
+
+
+def cell_text(text: Column) -> Column:
+    """A cell's lines, stripped and joined by one blank, runs of blanks and tabs as one blank; null as empty."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n")
+    kept = F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
+    return F.btrim(F.regexp_replace(F.array_join(kept, " "), r"[ \t]+", " "), F.lit(WHITE))
 
 
 def model_parts(text: Column) -> Column:

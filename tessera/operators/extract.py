@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import LONG_DASHES, clean_model, model_parts, unify_dashes
+from tessera.functions.text import LONG_DASHES, clean_model, model_parts, nfkc, unify_dashes
 
 #: Labels of fixture frames, and the pattern of drawing numbers in running text.
 LABELS = ("適合ランプ", "光源色", "定格電圧", "消費電力", "器具光束", "質量", "材質", "本体", "反射板", "カバー", "塗装", "備考")
@@ -39,9 +39,9 @@ def label_value_pairs(text: Column, labels: tuple[str, ...] = LABELS) -> Column:
     return pairs(text)
 
 
-def drawing_codes(text: Column) -> Column:
+def drawing_codes(text: Column, unicode: bool = True) -> Column:
     """The distinct drawing numbers in a text, in order of their first place."""
-    return F.array_distinct(F.regexp_extract_all(unify_dashes(F.upper(text), LONG_DASHES), F.lit(f"({DRAWING_INSIDE})"), 1))
+    return F.array_distinct(F.regexp_extract_all(unify_dashes(F.upper(nfkc(text, unicode)), LONG_DASHES), F.lit(f"({DRAWING_INSIDE})"), 1))
 
 
 def maker_and_model(text: Column) -> Column:

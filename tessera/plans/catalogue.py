@@ -270,7 +270,7 @@ def power_normalize(spark: SparkSession, folder: str) -> DataFrame:
     return _parts(spark, folder, x=_POWER).select("p_partkey", text.power_text(F.col("x"), False).alias("power"))
 
 
-@query(f"SELECT p_partkey, regexp_matches(x, '[0-9]') AND regexp_matches(x, '^[A-Z0-9～~]+(-[A-Z0-9～~]+)+$') AS is_code, regexp_matches(x, '^[A-Z][0-9][0-9]?$') AS is_fixture FROM (SELECT p_partkey, {_PART_CODE} AS x FROM part)")
+@query(f"SELECT p_partkey, regexp_matches(x, '[0-9]') AND regexp_matches(x, '^[A-Z0-9～~]+(-[A-Z0-9～~]+)*$') AS is_code, regexp_matches(x, '^[A-Z][0-9][0-9]?$') AS is_fixture FROM (SELECT p_partkey, {_PART_CODE} AS x FROM part)")
 def equipment_code_test(spark: SparkSession, folder: str) -> DataFrame:
     return _parts(spark, folder, x=_PART_CODE).select("p_partkey", text.looks_like_code(F.col("x")).alias("is_code"), predicates.is_fixture_code(F.col("x")).alias("is_fixture"))
 
