@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,33 +83,62 @@ def first_fit_boxes(rows: DataFrame, key: str, most_dy: float = 140.0, least_ove
     return rows.groupBy(key).applyInPandas(fit, schema)
 
 
+@dataclass
+class Mark:
+    """A row of a section: its line, its place and its model's place in the line, its block, and its code if it has one."""
+
+    y: float
+    x: float
+    model_x: float
+    block: int
+    code: str
+
+
+def propagate(marks: list[Mark], most_gap: float = 120.0, by_block: bool = True) -> None:
+    """Give marks without a code one.
+
+    A line without any code takes those of the nearest earlier line that has some, if that is within most_gap: place by
+    place if both have as many marks, else each mark that of the nearest model that no other mark of the line took, or of
+    all once each is taken. Lines filled so serve later ones. Then what is left takes the last code above it in its block.
+    """
+    lines: dict[float, list[Mark]] = {}
+    for m in marks:
+        lines.setdefault(m.y, []).append(m)
+    source: tuple[float, list[Mark]] | None = None
+    for y in sorted(lines):
+        own = sorted(lines[y], key=lambda m: m.x)
+        if not any(m.code for m in own) and source and y - source[0] <= most_gap:
+            free: list[Mark] = []
+            for k, m in enumerate(own):
+                if len(own) == len(source[1]):
+                    taken = source[1][k]
+                else:
+                    free = free or list(source[1])
+                    taken = min(free, key=lambda s: abs(s.model_x - m.model_x))
+                    free = [s for s in free if s is not taken]
+                m.code, m.block, m.model_x = taken.code, taken.block, taken.model_x
+        if full := [m for m in own if m.code]:
+            source = (y, full)
+    if by_block:
+        last: dict[int, str] = {}
+        for m in sorted(marks, key=lambda m: (m.y, m.x)):
+            m.code = m.code or last.get(m.block, "")
+            last[m.block] = m.code
+
+
 def greedy_propagate(rows: DataFrame, key: str, most_gap: float = 120.0) -> DataFrame:
-    """rows (key, ord, y, x, code) with empty codes filled from the nearest earlier line that has some, within most_gap.
+    """rows (key, ord, y, x, code and, if known, block and model_x) with empty codes filled by `propagate`.
 
-    A line's empty rows take the codes of that line position by position if there are as many, else each the
-    nearest by x that no other row of the line took. Lines filled so serve later ones.
+    Without a block column no row is filled by its block. Each choice depends on those before it, so a key's rows go to
+    one task; keys are sections of pages.
     """
+    blocks, models = "block" in rows.columns, "model_x" in rows.columns
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "x", "ord"], kind="stable").reset_index(drop=True)
-        codes, sources = list(frame.code.fillna("")), []
-        for y, at in frame.groupby("y", sort=True).groups.items():
-            at = list(at)
-            empty = [i for i in at if not codes[i]]
-            near = next((s for s in reversed(sources) if y - s[0] <= most_gap), None)
-            if empty and near:
-                if len(near[1]) == len(empty):
-                    for i, j in zip(empty, near[1]):
-                        codes[i] = codes[j]
-                else:
-                    free = list(near[1])
-                    for i in empty:
-                        if free:
-                            j = min(free, key=lambda j: (abs(frame.x[i] - frame.x[j]), j))
-                            codes[i] = codes[j]
-                            free.remove(j)
-            if full := [i for i in at if codes[i]]:
-                sources.append((y, full))
-        return frame.assign(code=codes)
+        frame = frame.sort_values(["y", "x", "ord"], kind="stable")
+        marks = [Mark(y, x, m, b, c or "") for y, x, m, b, c in zip(frame.y, frame.x, frame.model_x if models else frame.x, frame.block if blocks else [0] * len(frame), frame.code)]
+        propagate(marks, most_gap, blocks)
+        found = {"code": [m.code for m in marks]} | ({"block": [m.block for m in marks]} if blocks else {}) | ({"model_x": [m.model_x for m in marks]} if models else {})
+        return frame.assign(**found)
 
     return rows.groupBy(key).applyInPandas(fill, rows.schema)
