@@ -133,10 +133,6 @@ def clean_model(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(plain, r"\s*-\s*", "-"), r"\s+", " "), F.lit(WHITE + ",;"))
 
 
-def one_line(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, r"\s+", " "))
-
-
 def xml_escape(text: Column) -> Column:
     for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(plain), F.lit(escaped))

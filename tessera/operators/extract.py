@@ -1,42 +1,15 @@
-"""Pattern extraction from text: label and value pairs, makers and models, codes. Only offsets of matches need Python."""
+"""Pattern extraction from text: makers and models, codes."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.text import LONG_DASHES, clean_model, model_parts, nfkc, unify_dashes
 
-#: Labels of fixture frames, and the pattern of drawing numbers in running text.
-LABELS = ("適合ランプ", "光源色", "定格電圧", "消費電力", "器具光束", "質量", "材質", "本体", "反射板", "カバー", "塗装", "備考")
+#: Patterns of drawing numbers in running text, and of models.
 DRAWING_INSIDE = r"[A-Z]{1,4}-[A-Z0-9]{1,8}(?:-[A-Z0-9]{1,8})*"
 MODEL = r"([A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+)(\([xX×]\d+\))?"
-PAIRS = "array<struct<label:string,value:string>>"
-
-
-def label_value_pairs(text: Column, labels: tuple[str, ...] = LABELS) -> Column:
-    """All labels of a text from left to right with what stands up to the next one; equal neighbours are joined."""
-    found = re.compile("|".join(map(re.escape, sorted(labels, key=len, reverse=True))))
-
-    @F.pandas_udf(PAIRS)
-    def pairs(texts: pd.Series) -> pd.Series:
-        def one(body: str | None) -> list[dict[str, str]]:
-            hits = list(found.finditer(body or ""))
-            out: list[dict[str, str]] = []
-            for m, after in zip(hits, [*hits[1:], None]):
-                value = body[m.end() : after.start() if after else len(body)].strip(" :：　\n")
-                if out and out[-1]["label"] == m[0]:
-                    out[-1]["value"] = (out[-1]["value"] + " " + value).strip()
-                else:
-                    out.append({"label": m[0], "value": value})
-            return out
-
-        return texts.map(one)
-
-    return pairs(text)
 
 
 def drawing_codes(text: Column, unicode: bool = True) -> Column:

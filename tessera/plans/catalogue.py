@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import predicates, text
 from tessera.operators import area, cluster, extract, reconcile, scan, spatial
-from tessera.plans import layout
+from tessera.plans import fixtures, frames, layout, raster, vector
 from tessera.plans.adapters import CAPACITY, NAME, ORDER, QTY, boxes, declared, observed
-from tessera.sources import tables
+from tessera.sources import sheets, tables
+from tessera.sources.scratch import shared_folder
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,7 +290,7 @@ def maker_model_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return _parts(spark, folder, x=_MODEL).withColumn("m", extract.maker_and_model(F.col("x"))).select("p_partkey", F.col("m.maker").alias("maker"), F.col("m.model").alias("model"))
 
 
-@query("SELECT doc_id, lower(replace(trim(substr(text, 1, strpos(text || chr(10), chr(10)) - 1), ' '), ' ', '')) AS key FROM documents")
+@query("SELECT doc_id, lower(replace(replace(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '　'), ' ', ''), '　', '')) AS key FROM documents")
 def compact_text(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents").select("doc_id", text.compare_key(F.col("text")).alias("key"))
 
@@ -565,16 +567,22 @@ def room_validation(spark: SparkSession, folder: str) -> DataFrame:
     return area.room_warnings(_parts(spark, folder, **_ROOM)).select("p_partkey", "warning")
 
 
-@query("SELECT p_partkey, '定格電圧=' || p_size || 'V|材質=鋼板 ' || p_type || '|備考=' AS pairs FROM part")
+_PAIR_TEXT = """CASE p_partkey % 6 WHEN 0 THEN '電源電圧：ＡＣ' || p_size || 'V 消費電流 ' || p_size || 'mA' WHEN 1 THEN '備考注意備考' || p_brand WHEN 2 THEN '質★' || p_size || 'q'
+  WHEN 3 THEN '材貝質メラミン焼付塗装塗色（' || p_size || '）黑' WHEN 4 THEN 'カメラ' || p_size || '型' ELSE p_name END"""
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '電源電圧=AC' || p_size || 'V|消費電流=' || p_size || 'mA' WHEN 1 THEN '備考=注意 ' || p_brand WHEN 2 THEN '質量=' || p_size || 'g'
+    WHEN 3 THEN '材質=メラミン焼付塗装|塗色（' || p_size || '）=黒' WHEN 4 THEN 'カメラ=' || p_size || '型' ELSE '' END AS pairs FROM part"""
+)
 def label_value_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    shown = _parts(spark, folder, x="'x 定格電圧：' || p_size || 'V 材質: 鋼板 材質' || p_type || ' 備考'")
-    pairs = extract.label_value_pairs(F.col("x"))
-    return shown.select("p_partkey", F.array_join(F.transform(pairs, lambda p: F.concat(p["label"], F.lit("="), p["value"])), "|").alias("pairs"))
+    shown = _parts(spark, folder, x=_PAIR_TEXT)
+    return shown.select("p_partkey", F.array_join(F.transform(frames.pairs_of(F.col("x")), lambda p: F.concat(p["label"], F.lit("="), p["value"])), "|").alias("pairs"))
 
 
-@query("SELECT p_partkey, 'EF-' || p_size || ',SF-B' || (p_partkey % 9) AS codes FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'EF-' || p_size || ',SF-B' || (p_partkey % 9) WHEN 1 THEN 'M-' || p_size ELSE '' END AS codes FROM part")
 def drawing_codes(spark: SparkSession, folder: str) -> DataFrame:
-    shown = _parts(spark, folder, x="'see ef–' || p_size || ' and SF-B' || (p_partkey % 9) || ', EF-' || p_size")
+    shown = _parts(spark, folder, x="CASE p_partkey % 3 WHEN 0 THEN 'see ef–' || p_size || ' and SF-B' || (p_partkey % 9) || ', EF-' || p_size WHEN 1 THEN '図番 Ｍ－' || p_size ELSE 'none: ' || p_size END")
     return shown.select("p_partkey", F.array_join(extract.drawing_codes(F.col("x")), ",").alias("codes"))
 
 
@@ -583,6 +591,26 @@ def csv_profile(spark: SparkSession, folder: str) -> DataFrame:
     return tables.profile(read_table(spark, folder, "nation"))
 
 
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS key, 'a"b,' || n_name || chr(10) || 'x' AS "名称", CASE WHEN n_regionkey = 2 THEN '' ELSE CAST(n_regionkey AS VARCHAR) END AS region FROM nation""")
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Text with quotes, commas and line ends through CSV files with a byte order mark."""
+    n = read_table(spark, folder, "nation")
+    rows = n.select(F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("string").alias("key"), F.concat(F.lit('a"b,'), "n_name", F.lit("\nx")).alias("名称"), F.when(F.col("n_regionkey") != 2, F.col("n_regionkey").cast("string")).alias("region"))
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    tables.write_csv(rows, path, ["ord"])
+    return tables.read_csv(spark, path).drop("ord")
+
+
+@query("SELECT n_nationkey + 1 AS number, [n_name, CASE WHEN n_regionkey = 2 THEN '' ELSE 'a<&>' || n_regionkey END, 'z'] AS cells FROM nation")
+def xlsx_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells through a spreadsheet file."""
+    n = read_table(spark, folder, "nation")
+    rows = n.select((F.col("n_nationkey") + 1).alias("number"), F.array(F.col("n_name"), F.when(F.col("n_regionkey") == 2, "").otherwise(F.concat(F.lit("a<&>"), "n_regionkey")), F.lit("z ")).alias("cells"))
+    path = f"{shared_folder(spark)}/sheet-{uuid.uuid4().hex}.xlsx"
+    sheets.write_xlsx(rows, path)
+    return sheets.read_xlsx(spark, path).select("number", "cells")
+
+
 @query("SELECT count(*) AS n_rows, max(len(string_split(text, chr(10)))) AS n_columns FROM documents")
 def ragged_profile(spark: SparkSession, folder: str) -> DataFrame:
     return tables.ragged_profile(read_table(spark, folder, "documents").select(F.split("text", "\n").alias("cells")))
@@ -634,3 +662,128 @@ def layout_segments(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linestatus, string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM (SELECT DISTINCT l_orderkey, l_linestatus, l_returnflag FROM lineitem) GROUP BY ALL")
 def unique_non_blank(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"))
+
+
+# --- reconciliation with full-width text -------------------------------------------------------------------------
+
+_WIDE = "０１２３４５６７８９"
+
+
+@query(
+    f"""SELECT CASE WHEN o_orderkey % 2 = 0 THEN translate(CAST(o_orderkey AS VARCHAR), '0123456789', '{_WIDE}') ELSE CAST(o_orderkey AS VARCHAR) END AS id, 'ＡＢ' || o_orderpriority AS raw_name, coalesce(n, 0)::VARCHAR AS observed_qty, CASE WHEN n IS NULL THEN '✗' WHEN n = 1 + o_orderkey % 3 THEN '◯' ELSE '✗' END AS qty_code
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
+)
+def reconcile_unicode(spark: SparkSession, folder: str) -> DataFrame:
+    orders, lines = read_table(spark, folder, "orders"), read_table(spark, folder, "lineitem")
+    wide = lambda c: F.translate(F.col(c).cast("string"), "0123456789", _WIDE)
+    own = orders.select(F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 2 == 0, wide("o_orderkey")).otherwise(F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("ＡＢ"), "o_orderpriority").alias("name"), F.lit("１").alias("capacity_text"), F.translate((1 + F.col("o_orderkey") % 3).cast("string"), "123", "１２３").alias("qty"), F.lit("").alias("drawing_no"))
+    seen = lines.select(F.struct(*ORDER).alias("ord"), F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("　"), wide("l_orderkey"))).otherwise(F.col("l_orderkey").cast("string")).alias("id"), F.lit("x").alias("name"), F.lit("").alias("voltage"), F.lit("").alias("capacity_text"), F.lit("").alias("drawing_no"))
+    found = reconcile.declared_rows(own, reconcile.observed_by_key(seen))
+    return found.join(own.select("ord", F.col("name").alias("raw_name")), "ord").select("id", "raw_name", "observed_qty", "qty_code")
+
+
+# --- pages and tables ---------------------------------------------------------------------------------------------
+
+_CODED = f"""SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORD}) AS o, CASE WHEN l_linenumber % 3 = 1 THEN 'EF-' || l_linenumber ELSE '' END AS code,
+  l_returnflag AS name, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS power, CASE WHEN l_linestatus = 'O' THEN l_linestatus ELSE '' END AS n FROM lineitem"""
+
+
+def _cell_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A page for each order: lines of 19 cells, of which some have no code."""
+    own = {vector.ID: F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("ＥＦ-"), "l_linenumber")).otherwise(""), vector.NAME: F.col("l_returnflag"), vector.POWER: F.col("l_quantity").cast("int").cast("string"), vector.COUNT: F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).otherwise("")}
+    return read_table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("page"), F.struct(*ORDER).alias("ord"), F.array(*(own.get(k, F.lit("")) for k in range(vector.CELLS))).alias("cells"))
+
+
+@query(
+    f"""WITH c AS ({_CODED}), p AS (SELECT *, last_value(nullif(code, '') IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c),
+    r AS (SELECT *, sum(CASE WHEN code <> '' AND code IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY o ROWS UNBOUNDED PRECEDING)::BIGINT AS record FROM p),
+    names AS (SELECT l_orderkey, record, string_agg(name, ' / ' ORDER BY first) AS name FROM (SELECT l_orderkey, record, name, min(o) AS first FROM r GROUP BY ALL) GROUP BY ALL),
+    powers AS (SELECT l_orderkey, record, string_agg(power, ' / ' ORDER BY first) AS power FROM (SELECT l_orderkey, record, power, min(o) AS first FROM r GROUP BY ALL) GROUP BY ALL)
+    SELECT l_orderkey AS page, record, arg_min(code, o) AS id, any_value(names.name) AS name, any_value(powers.power) AS power, max(n) AS count, CASE WHEN l_orderkey % 2 = 0 THEN 'M-' || l_orderkey ELSE '' END AS drawing_no
+    FROM r JOIN names USING (l_orderkey, record) JOIN powers USING (l_orderkey, record) WHERE record > 0 GROUP BY l_orderkey, record"""
+)
+def vector_records(spark: SparkSession, folder: str) -> DataFrame:
+    drawings = read_table(spark, folder, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("page"), F.concat(F.lit("M-"), "o_orderkey").alias("drawing_no"))
+    return vector.four_columns(vector.records(_cell_rows(spark, folder)), drawings)
+
+
+@query("SELECT p_partkey AS page, list_value('機器番号', '名称', '合計') AS head, 'PAC-' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '-3' ELSE '' END AS id, CASE WHEN p_partkey % 3 = 0 THEN 'ルームエアコン' ELSE p_type END AS name, CAST(p_size AS VARCHAR) AS total FROM part")
+def summary_tables(spark: SparkSession, folder: str) -> DataFrame:
+    p = read_table(spark, folder, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("ルームエアコ"), F.lit("ン"))).otherwise(F.array(F.col("p_type"), F.lit("")))
+    code = F.when(F.col("p_partkey") % 2 == 0, F.array(F.concat(F.lit("PAC-"), "p_size", F.lit("-")), F.lit("3"))).otherwise(F.array(F.concat(F.lit("PAC-"), "p_size"), F.lit("")))
+    head = F.array(*map(F.lit, ("機器番号", "", "名 称", "", "仕様", "合計")))
+    lines = F.array(head, F.concat(code, name, F.array(F.lit("x"), F.col("p_size").cast("string"))))
+    rows = vector.summary_rows(p.select(F.col("p_partkey").alias("page"), F.posexplode(lines).alias("ord", "cells")))
+    found = rows.groupBy("page").agg(F.min_by("cells", "ord").alias("h"), F.max_by("cells", "ord").alias("c"))
+    cell = lambda c, k: F.col(c)[k]
+    return found.select("page", F.array(cell("h", 0), F.replace(cell("h", 1), F.lit(" "), F.lit("")), cell("h", 15)).alias("head"), cell("c", 0).alias("id"), cell("c", 1).alias("name"), cell("c", 15).alias("total"))
+
+
+def _page_words(rows: DataFrame, *items: Column) -> DataFrame:
+    """Words of a page of 1,000 by 1,000 from structs of (text, x, y, width)."""
+    words = rows.select("page", F.posexplode(F.flatten(F.array(*items))).alias("ord", "w"))
+    x, y, half = F.col("w.x").cast("double"), F.col("w.y").cast("double"), F.col("w.width").cast("double") / 2
+    return words.select("page", "ord", F.col("w.text").alias("text"), x.alias("cx"), y.alias("cy"), (x - half).alias("x0"), (y - 5).alias("y0"), (x + half).alias("x1"), (y + 5).alias("y1"), F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"))
+
+
+def _word(text: Column | str, x: Column | int, y: Column | int, width: int = 40) -> Column:
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(as_column(text).alias("text"), as_column(x).cast("int").alias("x"), as_column(y).cast("int").alias("y"), F.lit(width).alias("width"))
+
+
+_TABLE_LINES = f"""SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORD}) - 1 AS k, 'SF-' || l_linenumber AS code, CASE l_returnflag WHEN 'R' THEN '送風機' WHEN 'A' THEN '清水ポンプ' ELSE '弁' || l_linestatus END AS name,
+  CASE WHEN l_linestatus = 'O' THEN '200' ELSE '100' END AS voltage, CAST(CAST(l_quantity AS INT) AS VARCHAR) || '.5' AS power FROM lineitem"""
+
+
+@query(f"SELECT l_orderkey + 10 AS page, (row_number() OVER (PARTITION BY l_orderkey ORDER BY k))::BIGINT AS row_index, code, name, voltage, power, 'E-' || l_orderkey AS drawing_no FROM ({_TABLE_LINES}) WHERE l_orderkey % 3 <> 0 OR k < 2")
+def raster_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A page for each order: a table of its lines, in every third a footer after the second one, and a drawing number."""
+    name = F.when(F.col("l_returnflag") == "R", "").when(F.col("l_returnflag") == "A", "・湧水ポンプx").otherwise(F.concat(F.lit("弁"), "l_linestatus"))
+    line = F.struct(*ORDER, F.concat(F.lit("ｓｆ-"), "l_linenumber").alias("code"), name.alias("name"), F.when(F.col("l_linestatus") == "O", "3φ200").otherwise("100V").alias("voltage"), F.concat(F.col("l_quantity").cast("int"), F.lit(".5kW")).alias("power"))
+    pages = read_table(spark, folder, "lineitem").groupBy((F.col("l_orderkey") + 10).alias("page")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    cut = F.col("page") % 3 == 1
+    y = lambda k: F.lit(140) + (k + F.when(cut & (k >= 2), 1).otherwise(0)) * 30
+    cells = F.flatten(F.transform("lines", lambda r, k: F.array(_word(F.upper(r["code"]), 100, y(k)), _word(r["name"], 220, y(k)), _word(r["voltage"], 300, y(k)), _word(r["power"], 380, y(k)))))
+    head = F.array(_word("機器", 85, 100), _word("番号", 115, 101), _word("名称", 220, 99), _word("電圧(V)", 300, 100), _word("容量(kW)", 380, 100))
+    foot = F.array(_word("図面番号", 800, 900, 60), _word("Ｅ-", 790, 930), _word((F.col("page") - 10).cast("string"), 840, 931))
+    stop = F.when(cut, F.array(_word("縮尺", 220, 200))).otherwise(F.array(_word("", 950, 5)))
+    found = raster.raster_rows(_page_words(pages, head, cells, stop, foot))
+    return found.select("page", "row_index", "code", "name", "voltage", "power", "drawing_no")
+
+
+@query(
+    """SELECT p_partkey AS page, 'DL' || (p_size % 9 + 1) AS code, unnest(['DAIKO', 'MK', '']) AS maker, unnest(['LZD-' || p_size, 'AB-' || p_partkey, '同上']) AS model FROM part"""
+)
+def fixture_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    p = read_table(spark, folder, "part").withColumn("page", F.col("p_partkey"))
+    code = F.concat(F.lit("DL"), (F.col("p_size") % 9 + 1).cast("string"))
+    rows = F.array(
+        _word("器具記号", 100, 50), _word("相当型番", 200, 51), _word(code, 100, 100), _word("DAIKO：", 200, 101), _word(F.concat(F.lit("LZD－"), "p_size"), 260, 100),
+        _word(F.concat(F.lit("MK:AB-"), "p_partkey"), 210, 150), _word("x", 400, 150), _word(code, 102, 200), _word("同 上", 220, 200), _word("EDM", 600, 250), _word("QQ-1", 650, 250),
+    )
+    return fixtures.schedule_rows(fixtures.schedule_candidates(_page_words(p, rows))).select("page", "code", "maker", "model")
+
+
+@query("SELECT p_partkey AS page, unnest(['D' || (p_size % 9), 'L2', '']) AS code, unnest(['Panasonic', 'KOIZUMI', 'DAIKO']) AS maker, unnest(['LGD-' || p_size, 'AU46978L', 'DP-3' || p_size]) AS model FROM part")
+def dwelling_fixtures(spark: SparkSession, folder: str) -> DataFrame:
+    p = read_table(spark, folder, "part").withColumn("page", F.col("p_partkey"))
+    rows = F.array(
+        _word("住戸内", 100, 50), _word("照明器具姿図", 160, 51, 60), _word("Ｄ", 110, 90, 10), _word((F.col("p_size") % 9).cast("string"), 122, 90, 10), _word("S", 900, 91, 10),
+        _word("Panasonic", 150, 200), _word(F.concat(F.lit("LGD－"), "p_size"), 210, 200), _word("L2:", 300, 240), _word("KOIZUMI", 350, 240), _word("AU46978L", 410, 240),
+        _word("DAIKO", 880, 280), _word(F.concat(F.lit("DP-3"), "p_size"), 940, 280), _word("Far", 50, 700), _word("ZZ-1234", 100, 700),
+    )
+    return fixtures.dwelling_rows(_page_words(p, rows)).select("page", "code", "maker", "model")
+
+
+@query(
+    """SELECT p_partkey AS page, ['ロビーインターホン', 'VH-' || p_size, '電源電圧', 'DC' || p_size || 'V', '質量', '約' || p_size || 'g(本体)'] AS cells FROM part UNION ALL SELECT p_partkey, ['非常ボタン', 'EB-' || (p_partkey % 7)] FROM part"""
+)
+def page_frames(spark: SparkSession, folder: str) -> DataFrame:
+    p = read_table(spark, folder, "part").withColumn("page", F.col("p_partkey"))
+    size = F.col("p_size").cast("string")
+    rows = F.array(
+        _word("ロビー", 120, 100), _word("インターホン", 180, 101, 60), _word(F.concat(F.lit("VH-"), size), 130, 140), _word(F.concat(F.lit("電源電圧：ＤＣ"), size, F.lit("V")), 160, 400, 120),
+        _word("質★約", 130, 440), _word(F.concat(size, F.lit("q")), 170, 440, 30), _word("(本体)", 140, 470), _word("非常ボタン", 700, 100, 80), _word(F.concat(F.lit("EB-"), (F.col("p_partkey") % 7).cast("string")), 710, 150),
+    )
+    return frames.page_frames(_page_words(p, rows)).select("page", "cells")

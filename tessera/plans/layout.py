@@ -1,13 +1,10 @@
-"""Layout pipelines over positioned words: rows, columns, table rows, anchors. Words: page, ord, text, cx, cy, x0, y0, x1, y1."""
+"""Rows and segments of positioned words as DataFrame expressions. Words: page, ord, text, cx, cy, x0, y0, x1, y1."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import predicates, text
-from tessera.operators import scan, spatial
-
 #: Pixels within which words are of one row, and the widest gap inside a cell.
 ROW_GAP, CELL_GAP = 20.0, 70.0
 
@@ -39,34 +36,3 @@ def segments(words: DataFrame, threshold: float = ROW_GAP, gap: float = CELL_GAP
     found = found.withColumn("_s", starts).withColumn("part", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cx", "ord", "text"))), lambda w: w["text"]), "")
     return found.groupBy("page", "row", "part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), joined.alias("text"))
-
-
-def table_rows(words: DataFrame, bounds: list[float], start_y: float = 0.0, threshold: float = ROW_GAP, gap: int = 1, unicode: bool = True) -> DataFrame:
-    """page, row, code, name, voltage, power: words below start_y by row and column interval, up to a footer or `gap` misses after data."""
-    names = ("code", "name", "voltage", "power")
-    found = rows_by_mean(words.filter(F.col("cy") >= start_y), threshold).withColumn("column", spatial.interval_bucket(F.col("cx"), bounds)).filter("column IS NOT NULL")
-    cell = F.struct("cx", "ord", "text")
-    cells = [F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("column") == k, cell))), lambda w: w["text"]), "").alias(c) for k, c in enumerate(names)]
-    lines = found.groupBy("page", "row").agg(*cells)
-    lines = lines.withColumn("voltage", text.voltage_text(F.col("voltage"), unicode)).withColumn("power", text.power_text(F.col("power"), unicode))
-    lines = lines.select("page", "row", *(text.clean_cell(F.col(c), unicode).alias(c) for c in names))
-    body = scan.take_until(lines, ["page"], ["row"], predicates.is_footer_row(F.concat(*names)))
-    return scan.stop_after(body, ["page"], ["row"], predicates.is_data_row(*map(F.col, names)), gap)
-
-
-def fixtures_near_anchors(candidates: DataFrame, anchors: DataFrame, most: float = 520.0) -> DataFrame:
-    """candidates (page, ord, x, ...) and `equipment`: that of the nearest anchor (page, ord, x, equipment) within `most`, a symbol's being empty."""
-    found = spatial.nearest_join(candidates, anchors, "page", "x", "x", most, ["page", "ord"], "ord")
-    own = F.col("nearest.equipment")
-    return found.withColumn("equipment", F.when(predicates.is_fixture_code(own), own).otherwise("")).drop("nearest")
-
-
-def drawing_numbers(words: DataFrame, below: float = 180.0, left: float = 120.0, right: float = 320.0, unicode: bool = True) -> DataFrame:
-    """page, drawing_no: the drawing number nearest below a page's lowest label, else the last one in reading order."""
-    codes = words.withColumn("code", text.drawing_code(F.col("text"), unicode)).filter("code IS NOT NULL").select("page", "ord", "cx", "cy", "code")
-    labels = words.filter(predicates.is_drawing_label(F.col("text"))).groupBy("page").agg(F.max(F.struct("cy", "cx")).alias("label"))
-    found = codes.join(labels, "page", "left")
-    dx, dy = F.col("cx") - F.col("label.cx"), F.col("cy") - F.col("label.cy")
-    near = F.coalesce(dy.between(0, below) & dx.between(-left, right), F.lit(False))
-    best = F.min_by("code", F.struct((~near).alias("far"), F.when(near, dy).otherwise(-F.col("cy")).alias("dy"), F.when(near, F.col("ord")).otherwise(-F.col("ord")).alias("at")))
-    return found.groupBy("page").agg(best.alias("drawing_no"))

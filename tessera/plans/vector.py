@@ -43,7 +43,7 @@ def summary_name(name: Column) -> Column:
 
 def joined_once(base: Column, more: Column, joint: str = JOINT) -> Column:
     """base and what it doesn't list yet."""
-    known = F.transform(F.split(base, joint), F.btrim)
+    known = F.transform(F.split(base, joint), lambda x: F.btrim(x))
     return F.when(more == "", base).when(base == "", more).when(F.array_contains(known, more), base).otherwise(F.concat(base, F.lit(joint), more))
 
 

@@ -11,16 +11,6 @@ def words(spark, items, page=1):
     return spark.createDataFrame([(page, i, t, float(x), float(y), x - 10.0, y - 5.0, x + 10.0, y + 5.0) for i, (t, x, y) in enumerate(items)], WORDS)
 
 
-def test_table_rows_stop_after_gap_and_footer(spark):
-    lines = [("機器記号名称電圧", 20, 10)]
-    for k, y in enumerate((60, 100, 140)):
-        lines += [(f"EF-{k}", 20, y), ("排風機", 120, y + 3), ("3φ200", 220, y - 2), ("0.75255kW", 320, y)]
-    lines += [("メモ", 120, 180), ("メモ", 120, 220), ("EF-9", 20, 260), ("弁", 120, 260), ("1", 320, 260)]
-    found = layout.table_rows(words(spark, lines), [0, 100, 200, 300, 400], 40.0).orderBy("row").collect()
-    assert [(r.code, r["name"], r.voltage, r.power) for r in found] == [(f"EF-{k}", "排風機", "200", "0.75") for k in range(3)]
-    assert layout.table_rows(words(spark, lines + [("縮尺", 20, 90)]), [0, 100, 200, 300, 400], 40.0).count() == 1
-
-
 def test_running_mean_differs_from_chain(spark):
     drift = words(spark, [("a", 10, 0), ("b", 10, 15), ("c", 10, 30), ("d", 10, 45)])
     assert [r.row for r in layout.rows_by_mean(drift, 20.0).orderBy("ord").collect()] == [0, 0, 1, 1]
@@ -33,19 +23,6 @@ def test_segments_split_at_gaps(spark):
     assert [r.text for r in found] == ["左右", "遠", "下"]
 
 
-def test_drawing_number_below_label(spark):
-    found = layout.drawing_numbers(words(spark, [("図面番号", 500, 700), ("Ｅ－０１２", 520, 740), ("E-999", 900, 10)]))
-    assert [(r.page, r.drawing_no) for r in found.collect()] == [(1, "E-012")]
-    assert layout.drawing_numbers(words(spark, [("x", 1, 1)])).count() == 0
-
-
-def test_fixtures_take_the_nearest_anchor(spark):
-    anchors = spark.createDataFrame([(1, 0, 100.0, "D1"), (1, 1, 400.0, "A"), (1, 2, 900.0, "L2")], "page long, ord long, x double, equipment string")
-    candidates = spark.createDataFrame([(1, 0, 120.0), (1, 1, 390.0), (1, 2, 5000.0), (1, 3, 500.0)], "page long, ord long, x double")
-    found = layout.fixtures_near_anchors(candidates, anchors).orderBy("ord").collect()
-    assert [r.equipment for r in found] == ["D1", "", "", ""]
-
-
 def test_greedy_propagation(spark):
     rows = spark.createDataFrame([(1, 0, 0.0, 10.0, "A1"), (1, 1, 0.0, 50.0, "A2"), (1, 2, 30.0, 11.0, ""), (1, 3, 30.0, 49.0, ""), (1, 4, 60.0, 48.0, ""), (1, 5, 500.0, 10.0, "")], "page long, ord long, y double, x double, code string")
     found = cluster.greedy_propagate(rows, "page").orderBy("ord").collect()
