@@ -104,12 +104,14 @@ def resolve_capacity(frame: DataFrame, text: str, name: str, strict: bool = Fals
 
 def _clean_observed(observed: DataFrame, unicode: bool) -> DataFrame:
     text = lambda c: normal(F.col(c).cast("string"), unicode)
-    return observed.select("ord", join_key(F.col("id").cast("string"), unicode).alias("key"), text("id").alias("raw_id"), text("drawing_no").alias("drawing"), text("name").alias("name"), text("capacity_text").alias("capacity"), text("voltage").alias("voltage"))
+    return observed.select("ord", join_key(F.col("id").cast("string"), unicode).alias("key"), text("id").alias("raw_id"), text("drawing_no").alias("drawing"), text("name").alias("name"), text("capacity_text").alias("capacity"), text("voltage").alias("voltage"), (F.col("times") if "times" in observed.columns else F.lit(1)).cast("long").alias("times"))
 
 
 def observed_groups(observed: DataFrame, unicode: bool = True) -> DataFrame:
     """One row for each key, and for each different content among rows without a key that say something.
 
+    A column `times`, if observed has one, says for how many rows each stands.
+
     key, print (null where there is a key), n, first (the least ord), shown_id, names, drawings, variants, capacity (the
     first row's), trace. Rows are counted by distinct text first, and a list's items are thinned to the first of each
     value before they are gathered, so a key with many rows never gathers more than its different texts.
@@ -118,7 +120,7 @@ def observed_groups(observed: DataFrame, unicode: bool = True) -> DataFrame:
     content = F.concat_ws("\u0001", *(compare_key(F.col(c), False) for c in ("name", "voltage", "capacity", "drawing")))
     rows = rows.withColumn("print", F.when(F.col("key").isNull(), content))
     same = ["key", "print"]
-    rows = rows.groupBy(*same, "drawing", "name", "capacity").agg(F.min("ord").alias("first"), F.min_by("raw_id", "ord").alias("id"), F.count(F.lit(1)).alias("times"))
+    rows = rows.groupBy(*same, "drawing", "name", "capacity").agg(F.min("ord").alias("first"), F.min_by("raw_id", "ord").alias("id"), F.sum("times").alias("times"))
     rows = rows.withColumn("variant", classify_capacity(F.col("capacity"), False))
     values = {"name": compare_key(F.col("name"), False), "drawing": compare_key(F.col("drawing"), False), "variant": F.when(F.col("variant.kind") != "blank", F.concat_ws("|", "variant.kind", "variant.display")).otherwise("")}
     place = F.struct("first", "drawing", "name", "capacity")

@@ -22,12 +22,26 @@ def counts_by_key(stream: DataFrame, time: str, delay: str, width: str) -> DataF
 
 
 def reconcile_stream(declared: DataFrame, stream: DataFrame, out: str, checkpoint: str, strict: bool = False) -> StreamingQuery:
-    """Reconcile each batch of arrived rows with the declared table and write it under its batch number.
+    """After each batch, reconcile all rows that arrived so far with the declared table, under the batch's number.
 
-    A batch that runs again overwrites what it wrote, so each batch counts once.
+    Each batch leaves its rows under `_seen`, equal texts as one row with their number, so what is read again grows with
+    the different texts and not with the rows. A batch that runs again overwrites what it wrote, so each counts once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        reconcile(declared, batch, strict).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        texts = [c for c in batch.columns if c != "ord"]
+        own = batch.groupBy(*texts).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("times"))
+        own.write.mode("overwrite").parquet(f"{out}/_seen/batch={number}")
+        seen = spark.read.option("basePath", f"{out}/_seen").parquet(f"{out}/_seen/batch=*").filter(F.col("batch") <= number)
+        # rows of earlier batches come first
+        seen = seen.withColumn("ord", F.struct("batch", "ord")).drop("batch")
+        reconcile(declared, seen, strict).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of the last batch that reconcile_stream wrote: those of all that arrived."""
+    rows = spark.read.parquet(out)
+    return rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
