@@ -116,9 +116,10 @@ def looks_like_code(text: Column) -> Column:
 
 def cell_text(text: Column) -> Column:
     """A cell's lines, stripped and joined by one blank, runs of blanks and tabs as one blank; null as empty."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n")
-    kept = F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
-    return F.btrim(F.regexp_replace(F.array_join(kept, " "), r"[ \t]+", " "), F.lit(WHITE))
+    whole = F.coalesce(text, F.lit(""))
+    kept = F.filter(F.transform(F.split(whole, "\r\n|\r|\n"), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
+    joined = F.btrim(F.regexp_replace(F.array_join(kept, " "), r"[ \t]+", " "), F.lit(WHITE))
+    return F.when(whole == "", whole).when(whole.rlike(r"[\r\n\t]|  "), joined).otherwise(F.btrim(whole, F.lit(WHITE)))
 
 
 def model_parts(text: Column) -> Column:

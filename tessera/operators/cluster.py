@@ -35,18 +35,30 @@ def running_mean_clusters(values: Column, tolerance: float) -> Column:
 
 
 def running_mean_cluster(rows: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
-    """keys, cluster, center, n. The rule looks at an evolving mean, so a window can't express it; a fold over a key's sorted values does.
+    """keys, cluster, center, n. The rule looks at an evolving mean, so a window can't express it; a fold over sorted values does.
 
-    A key's values are in one row while folded: keys are pages or sections, whose size the layout bounds.
+    A gap wider than the tolerance always begins a cluster, as a mean is never above its last value. So values are cut there
+    first, by a window, and only the values between two such gaps are gathered into one row.
     """
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_values")).select(*keys, F.posexplode(running_mean_clusters(F.col("_values"), tolerance)).alias("cluster", "_c")).select(*keys, F.col("cluster").cast("long"), F.col("_c.mean").alias("center"), F.col("_c.n").cast("long").alias("n"))
+    islands = chain_cluster(rows.select(*keys, F.col(value).cast("double").alias("_value")), keys, "_value", tolerance, name="_island")
+    folded = islands.groupBy(*keys, "_island").agg(F.sort_array(F.collect_list("_value")).alias("_values"))
+    found = folded.select(*keys, "_island", F.posexplode(running_mean_clusters(F.col("_values"), tolerance)).alias("_place", "_c"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_island", "_place")) - 1
+    return found.select(*keys, number.cast("long").alias("cluster"), F.col("_c.mean").alias("center"), F.col("_c.n").cast("long").alias("n"))
 
 
 def thin(rows: DataFrame, keys: list[str], value: str, least: float) -> DataFrame:
-    """keys, kept: of the sorted values, the first and each that is `least` or more beyond the last kept one."""
-    values = F.sort_array(F.collect_list(F.col(value).cast("double")))
+    """keys, kept: of the sorted values, the first and each that is `least` or more beyond the last kept one.
+
+    A value `least` or more beyond the one before it is always kept, so only the values between two such are folded together.
+    """
+    order = Window.partitionBy(*keys).orderBy("_value")
+    own = rows.select(*keys, F.col(value).cast("double").alias("_value"))
+    own = own.withColumn("_start", F.when(F.col("_value") - F.lag("_value").over(order) >= least, 1).otherwise(0))
+    own = own.withColumn("_island", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    values = F.sort_array(F.collect_list("_value"))
     kept = F.aggregate("_values", F.array().cast("array<double>"), lambda done, x: F.when((F.size(done) == 0) | (x - F.try_element_at(done, F.lit(-1)) >= least), F.concat(done, F.array(x))).otherwise(done))
-    return rows.groupBy(*keys).agg(values.alias("_values")).select(*keys, F.explode(kept).alias("kept"))
+    return own.groupBy(*keys, "_island").agg(values.alias("_values")).select(*keys, F.explode(kept).alias("kept"))
 
 
 def gap_split(rows: DataFrame, keys: list[str], left: str, right: str, most: float, ties: list[str] | None = None, name: str = "part") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.cluster import chain_cluster
+
 #: Pixels within which words are of one row, and the widest gap inside a cell.
 ROW_GAP, CELL_GAP = 20.0, 70.0
 
@@ -12,10 +14,11 @@ ROW_GAP, CELL_GAP = 20.0, 70.0
 def rows_by_mean(words: DataFrame, threshold: float = ROW_GAP) -> DataFrame:
     """words and `row`: words in order of cy join the last row while within threshold of its mean so far.
 
-    The rule is a fold, so a page's words are gathered; a page bounds how many.
+    The rule is a fold; a gap wider than the threshold always begins a row, so only words between two such gaps are
+    gathered.
     """
     word = F.struct("cy", "ord", *(c for c in words.columns if c not in ("cy", "ord", "page")))
-    pages = words.groupBy("page").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    pages = chain_cluster(words, ["page"], "cy", threshold, ["ord"], "_island").groupBy("page", "_island").agg(F.sort_array(F.collect_list(word)).alias("words"))
 
     def step(done, w):
         last = F.try_element_at(done, F.lit(-1))
@@ -24,8 +27,9 @@ def rows_by_mean(words: DataFrame, threshold: float = ROW_GAP) -> DataFrame:
         return F.concat(done, F.array(F.struct(mean.alias("mean"), F.when(joins, last["n"] + 1).otherwise(1).alias("n"), F.when(joins, last["row"]).otherwise(F.coalesce(last["row"], F.lit(-1)) + 1).alias("row"))))
 
     marks = F.aggregate("words", F.array().cast("array<struct<mean:double,n:int,row:int>>"), step)
-    flat = pages.withColumn("marks", marks).select("page", F.explode(F.arrays_zip("words", "marks")).alias("z"))
-    return flat.select("page", F.col("z.words.*"), F.col("z.marks.row").cast("long").alias("row")).select(*words.columns, "row")
+    flat = pages.withColumn("marks", marks).select("page", "_island", F.explode(F.arrays_zip("words", "marks")).alias("z"))
+    number = F.dense_rank().over(Window.partitionBy("page").orderBy("_island", "z.marks.row")) - 1
+    return flat.select("page", F.col("z.words.*"), number.cast("long").alias("row")).select(*words.columns, "row")
 
 
 def segments(words: DataFrame, threshold: float = ROW_GAP, gap: float = CELL_GAP) -> DataFrame:
