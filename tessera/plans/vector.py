@@ -68,9 +68,9 @@ def _merged(first: Column, others: Column) -> Column:
     return F.aggregate(others, first, add)
 
 
-def padded(cells: Column, unicode: bool = True) -> Column:
+def padded(cells: Column) -> Column:
     """The first 19 cells, cleaned; missing ones are empty."""
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: text.cell_text(F.coalesce(F.get(cells, k), F.lit(""))))
+    return F.slice(F.concat(F.transform(cells, lambda c: text.cell_text(c)), F.array_repeat(F.lit(""), CELLS)), 1, CELLS)
 
 
 def records(rows: DataFrame, unicode: bool = True) -> DataFrame:
@@ -79,7 +79,7 @@ def records(rows: DataFrame, unicode: bool = True) -> DataFrame:
     The first row with a note mark after a record has begun ends a page. A code whose last part stands in the name's
     cell is put together. Of the counts the first stays; other cells list what the rows add.
     """
-    found = rows.select("page", "ord", padded(F.col("cells"), unicode).alias("cells")).filter(F.exists("cells", lambda c: c != ""))
+    found = rows.select("page", "ord", padded(F.col("cells")).alias("cells")).filter(F.exists("cells", lambda c: c != ""))
     code = text.equipment_code(F.col("cells")[ID], unicode)
     found = found.withColumn("code", F.when(text.looks_like_code(code), code).otherwise(""))
     split = (F.col("code") != "") & F.col("cells")[NAME].rlike(r"^-\d+$")
