@@ -207,7 +207,8 @@ def bpe_digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs, encoded with the tokenizer file at `path`.
 
     The file has to be at that path on every executor. Null text counts as empty and has no ids; repeated
-    rows are encoded alike; an empty table gives an empty one; other columns are ignored.
+    rows and null or repeated ids are encoded alike; an empty table gives an empty one; other columns are ignored. The
+    ids of one text are in memory at once, so a long text costs some ten times its size.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,27 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_left: list[tuple[SparkSession, str]] = []
-
+from tessera.sources.scratch import shared_folder
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
-
-    Only a local master may run without that setting; it then gets a temporary folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+_left: list[tuple[SparkSession, str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the work folder; it is deleted when the driver ends."""
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not _left:
         atexit.register(_clear)
     _left.append((spark, path))
@@ -48,15 +34,27 @@ def _clear() -> None:
             return
 
 
+def forget_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _left.remove((spark, path))
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table that materialize returned as df, which nothing may read any more."""
-    path = getattr(df, "_table_path", None)
-    for k, (spark, own) in enumerate(_left):
-        if own == path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            del _left[k]
-            return
+    forget_path(df.sparkSession, df._table_path)
+
+
+def made_so_far() -> int:
+    """A mark for forget_since."""
+    return len(_left)
+
+
+def forget_since(mark: int, keep: DataFrame) -> None:
+    """Delete the tables made since the mark but `keep`, once nothing reads them any more."""
+    for spark, path in list(_left[mark:]):
+        if path != getattr(keep, "_table_path", None):
+            forget_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
 
     Texts are equal when identical; null counts as empty. Of equal texts the row with the largest doc_id
     stays, a null doc_id being the smallest; of rows equal in both, one stays. An empty table gives an
-    empty one, and other columns are ignored.
+    empty one, and other columns are ignored. A text may have any length: only its hashes are kept.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     seen = with_maybe_repeated(own, "_text", max_filter_bytes)
@@ -65,7 +65,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns.
 
-    Rows whose hash is not repeated keep their place; only the others are shuffled.
+    Rows whose hash is not repeated keep their place; only the others are shuffled, with texts of any length. Null counts
+    as empty, but the row that stays is as it was; of repeated rows one stays; a null doc_id is the smallest; an
+    empty table gives an empty one; columns may have any names.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("_id"), whole.alias("_whole"))

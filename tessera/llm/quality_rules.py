@@ -68,7 +68,9 @@ def _repeat_starts(ordered: Column) -> Column:
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts, verdict and cleaned text of every row of docs, whose other columns are kept under `row`.
 
-    Null text counts as empty: no words, base_failed. Repeated rows are judged alike, each on its own.
+    Null text counts as empty: no words, base_failed. Repeated rows and null or repeated ids are judged alike, each on
+    its own. A text's lines, words and window hashes are arrays in its row, about 60 bytes a word while it is judged, so a
+    task needs some 60 MB for each million words of its longest text.
     3-word windows are compared by 64-bit hash, within one text only. An empty table gives an empty one.
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines,
     left_chars, base_failed, kept, clean_text, row.
@@ -113,14 +115,18 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns as they were."""
+    """The rows of docs that quality_rules keeps, with all their columns as they were.
+
+    Null and empty texts go, as they have no words; repeated rows stay or go together; an empty table gives an empty one.
+    """
     return quality_rules(docs, doc_id, text).filter("kept").select("row.*")
 
 
 def keep_clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The rows that keep_good keeps, without their failing lines; `n_chars`, if docs have it, counts what is left.
 
-    A text whose lines all pass stays as it is; of others, blank lines go too.
+    A text whose lines all pass stays as it is; of others, blank lines go too. Null, empty, repeated and long texts and
+    empty tables are as in keep_good; columns may have any names.
     """
     judged = quality_rules(docs, doc_id, text).filter("kept")
     whole = F.when(F.col("n_failed_lines") == 0, F.col(f"row.`{text}`")).otherwise(F.col("clean_text"))

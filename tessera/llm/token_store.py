@@ -129,7 +129,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int | None = N
     Documents lie in ascending doc_id order within and over the files; a null id comes first, rows of equal
     ids in any order. Each task writes one file under a name of its own, and only files in the manifest
     count, so a task that runs twice does no harm. `folder` is a URI that pyarrow opens on every executor.
-    Manifest: file, first_id, n_docs, n_ids. Null text counts as empty; an empty table gives an empty manifest.
+    Manifest: file, first_id, n_docs, n_ids. Null text counts as empty; an empty table gives an empty manifest; other
+    columns are ignored. A document is never split, so a long one makes a frame of its own.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
