@@ -1,11 +1,17 @@
-"""A corpus pipeline of five stages: quality rules, exact dedup, near dedup, secret redaction, packing."""
+"""A corpus pipeline of five stages: quality rules, exact dedup, near dedup, secret redaction, packing.
+
+Every stage takes any table with doc_id, text, source and n_chars, whatever other columns it has, and returns the same
+columns but for the last. Null and empty texts fail the quality rules and so go in the first stage; given to a later stage
+they are equal to each other, link with nothing, hold no secret and pack as a closing id. Of repeated rows one
+stays after the second stage. Very long texts are whole in every stage. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import materialize
+from tessera.llm.common import forget, forget_since, made_so_far, materialize
 from tessera.llm.exact_dedup import drop_copies
 from tessera.llm.ngram_join import drop_near_copies
 from tessera.llm.packing import pack
@@ -56,5 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, each stage's result being written and read again before the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        mark = made_so_far()
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget_since(mark, keep=docs)
+        if name != STAGES[0][0]:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
