@@ -601,7 +601,7 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read_csv(spark, path).drop("ord")
 
 
-@query("SELECT n_nationkey + 1 AS number, [n_name, CASE WHEN n_regionkey = 2 THEN '' ELSE 'a<&>' || n_regionkey END, 'z'] AS cells FROM nation")
+@query("SELECT CAST(n_nationkey + 1 AS BIGINT) AS number, [n_name, CASE WHEN n_regionkey = 2 THEN '' ELSE 'a<&>' || n_regionkey END, 'z'] AS cells FROM nation")
 def xlsx_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Cells through a spreadsheet file."""
     n = read_table(spark, folder, "nation")
