@@ -98,3 +98,18 @@ def room_warnings(rooms: DataFrame, diagram_type: str = "diagram_type") -> DataF
     kind = F.when(~_empty(F.col("area_m2")), None).when(F.trim(F.coalesce("calculation", F.lit(""))) != "", "calculation").when(~_empty(F.col("tatami")), "tatami")
     kind = kind.when((F.lower(F.trim(F.col(diagram_type))) == "detailed") & any_finish, "finish")
     return rooms.filter(F.trim(F.coalesce("room_name", F.lit(""))) != "").withColumn("warning", kind)
+
+
+#: What is said of a room whose area is empty, before and after its name, and after what speaks for an area.
+ROOM = ("部屋「", "」")
+SAID = {"calculation": ("に計算根拠（", "）がありますが、area_m2が空欄です。"), "tatami": ("に帖数（", "）がありますが、area_m2が空欄です。")}
+SAID_OF_FINISH = "は仕上表に記載されていますが、area_m2が空欄です。寸法を読み取って計算してください。"
+
+
+def room_messages(rooms: DataFrame) -> DataFrame:
+    """The rooms of room_warnings with `message`, the warning in words, or null."""
+    name = F.concat(F.lit(ROOM[0]), F.trim("room_name"), F.lit(ROOM[1]))
+    said = F.when(F.col("warning") == "finish", F.concat(name, F.lit(SAID_OF_FINISH)))
+    for kind, (before, after) in SAID.items():
+        said = said.when(F.col("warning") == kind, F.concat(name, F.lit(before), F.trim(F.col(kind)) if kind == "calculation" else F.col(kind), F.lit(after)))
+    return rooms.withColumn("message", said)

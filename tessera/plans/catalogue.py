@@ -12,7 +12,7 @@ from tessera.functions import predicates, text
 from tessera.operators import area, cluster, extract, reconcile, scan, spatial
 from tessera.plans import fixtures, frames, layout, raster, vector
 from tessera.plans.adapters import CAPACITY, NAME, ORDER, QTY, boxes, declared, observed
-from tessera.sources import sheets, tables
+from tessera.sources import nested, sheets, tables
 from tessera.sources.scratch import shared_folder
 from tessera.sources.tables import read_table
 
@@ -787,3 +787,29 @@ def page_frames(spark: SparkSession, folder: str) -> DataFrame:
         _word("質★約", 130, 440), _word(F.concat(size, F.lit("q")), 170, 440, 30), _word("(本体)", 140, 470), _word("非常ボタン", 700, 100, 80), _word(F.concat(F.lit("EB-"), (F.col("p_partkey") % 7).cast("string")), 710, 150),
     )
     return frames.page_frames(_page_words(p, rows)).select("page", "cells")
+
+
+# --- nested documents -----------------------------------------------------------------------------------------------
+
+_ROOM_JSON = """'{"diagram_type": " Detailed", "data": {"room_areas": [{"room_name": "' || p_name || '", "area_m2": ' || CASE WHEN p_size % 2 = 0 THEN 'null' ELSE '9.5' END || ', "calculation": "' || CASE WHEN p_size % 3 = 0 THEN ' 2x3 ' ELSE '' END || '", "tatami": ' || p_size || '}, null, {"room_name": " "}, {"room_name": "x", "area_m2": "－", "' || CASE WHEN p_size % 5 = 0 THEN '床' ELSE 'note' END || '": "wood"}]}}'"""
+
+
+@query(
+    """SELECT p_partkey AS key, 0::BIGINT AS ord, p_name AS room_name, CASE WHEN p_size % 2 = 1 THEN NULL WHEN p_size % 3 = 0 THEN '部屋「' || p_name || '」に計算根拠（2x3）がありますが、area_m2が空欄です。' ELSE '部屋「' || p_name || '」に帖数（' || p_size || '）がありますが、area_m2が空欄です。' END AS message FROM part
+    UNION ALL SELECT p_partkey, 3, 'x', CASE WHEN p_size % 5 = 0 THEN '部屋「x」は仕上表に記載されていますが、area_m2が空欄です。寸法を読み取って計算してください。' END FROM part"""
+)
+def room_messages(spark: SparkSession, folder: str) -> DataFrame:
+    rooms = nested.room_rows(_parts(spark, folder, json=_ROOM_JSON).withColumnRenamed("p_partkey", "key"))
+    return area.room_messages(area.room_warnings(rooms)).select("key", "ord", "room_name", "message")
+
+
+_OCR_JSON = """'{"fullTextAnnotation": {"pages": [{"blocks": [{"paragraphs": [{"words": [{"symbols": [{"text": "E"}, {"text": "F"}, {"text": "-' || p_size || '"}], "boundingBox": {"vertices": [{"x": ' || p_size || ', "y": 20}, {"x": 100, "y": 20}, {"x": 100, "y": 31}, {"x": ' || p_size || ', "y": 31}]}},
+  {"symbols": [{"text": " "}], "boundingBox": {"vertices": [{"x": 1, "y": 1}]}}]}, {"words": [{"symbols": [{"text": "弁"}], "boundingBox": {"vertices": [{"y": 5}, {"x": 8, "y": 5}, {"x": 8}, {}]}}]}]}]}]}}'"""
+
+
+@query(
+    """SELECT p_partkey AS page, 0::BIGINT AS ord, 'EF-' || p_size AS text, (p_size + 100) / 2::DOUBLE AS cx, 25.5::DOUBLE AS cy, p_size::DOUBLE AS x0, 20::DOUBLE AS y0, 100::DOUBLE AS x1, 31::DOUBLE AS y1 FROM part
+    UNION ALL SELECT p_partkey, 2, '弁', 4, 2.5, 0, 0, 8, 5 FROM part"""
+)
+def ocr_words(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.ocr_words(_parts(spark, folder, json=_OCR_JSON).withColumnRenamed("p_partkey", "page"))

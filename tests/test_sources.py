@@ -67,3 +67,11 @@ def test_first_fit_equals_plain_version(spark):
             else:
                 assert found[own[1]] == len(members)
                 members.append([own])
+
+
+def test_nested_documents_without_rows(spark):
+    from tessera.sources import nested
+
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "not json"), (4, "{}"), (5, '{"fullTextAnnotation": null, "data": {"room_areas": "x"}}'), (6, "[1]")], "page long, json string")
+    assert nested.ocr_words(odd).count() == 0
+    assert nested.room_rows(odd, key="page").count() == 0
