@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, with the ids of recurring pieces of text kept in a bounded table."""
+"""Token ids as the tokenizers library gives them, with the ids of recurring pieces of text kept in a bounded table."""
 
 from __future__ import annotations
 
@@ -14,13 +14,12 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from tessera.llm.common import release_memory
+from tessera.llm.merges import WordMerger
 
 #: Most pieces whose ids a worker keeps; further ones are encoded once for each run of texts.
 MAX_KEPT = 800_000
 #: Seconds without a text after which a worker, which Spark keeps for other work, drops its kept pieces.
 IDLE_SECONDS = 20.0
-#: Words that the library encodes as one text.
-JOINED = 2_000
 #: Characters of text whose pieces are held at once; a longer text is on its own.
 CHUNK = 1 << 22
 #: Unicode white space, as a character class.
@@ -58,15 +57,22 @@ class PieceEncoder:
         inner = before.get("pretokenizers", [before])
         kinds = [x.get("type") for x in inner]
         names = [x["content"] for x in spec["added_tokens"]]
-        self.pieces, self.whole, self.word, self.joint = None, re.compile("(?!)"), re.compile("(?!)"), ""
+        self.pieces, self.whole, self.word = None, re.compile("(?!)"), re.compile("(?!)")
+        merged, self.lower = WordMerger.fits(spec["model"]), False
         if kinds == ["Split", "ByteLevel"] and inner[0].get("behavior") == "Removed" and inner[0].get("invert") and r"[^\s\p{L}\p{N}]+" in inner[0]["pattern"].get("Regex", "") and not any(" " in n or "\n" in n for n in names):
             self.pieces = re.compile(rf"[{LETTERS}]++(?![^ \n{MARKS}])|[{MARKS}]++(?![^ \n])|[^ \n]+")
-            self.word, self.joint = re.compile(f"[{LETTERS}]+"), " "
+            self.word = re.compile(f"[{LETTERS}]+")
+            # these letters are composed, and none is white space
+            normal = spec["normalizer"] or {"normalizers": []}
+            steps = [(x["type"], x.get("pattern"), x.get("content")) for x in normal.get("normalizers", [normal])]
+            self.lower = ("Lowercase", None, None) in steps
+            merged &= all(x[0] in ("NFC", "Lowercase") or x == ("Replace", {"Regex": r"\s+"}, " ") for x in steps)
         elif kinds == ["ByteLevel"] and inner[0].get("use_regex") and not inner[0].get("add_prefix_space") and not spec["normalizer"]:
             self.pieces = re.compile(rf" ?[{LETTERS}]++(?![^{SPACE}{MARKS}])|[{MARKS}]++(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-            self.word = re.compile(f" [{LETTERS}]+")
+            self.word = re.compile(f" ?[{LETTERS}]+")
             self.whole = re.compile("|".join(map(re.escape, names)) or "(?!)")
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.merger = WordMerger(spec["model"]) if merged else None
         self.kept = _Kept()
         self._lock, self._used, self._watched = threading.Lock(), 0.0, False
 
@@ -80,20 +86,18 @@ class PieceEncoder:
         release_memory()
 
     def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of new pieces. Those that the pattern takes for one word each are encoded many at once."""
-        words = [p for p in pieces if self.word.fullmatch(p)]
-        others = list(pieces.difference(words))
-        found = dict(zip(others, self._library_ids(others)))
-        for start in range(0, len(words), JOINED):
-            own = words[start : start + JOINED]
-            coded = self.library.encode_batch([self.joint.join(own)], add_special_tokens=False)[0]
-            at = np.asarray(coded.word_ids)
-            if len(at) == 0 or at[0] != 0 or at[-1] != len(own) - 1 or (np.diff(at) > 1).any():
-                found.update(zip(own, self._library_ids(own)))
-                continue
-            cuts = (np.searchsorted(at, np.arange(len(own) + 1)) * self.dtype.itemsize).tolist()
-            ids = np.asarray(coded.ids, self.dtype).tobytes()
-            found.update((w, ids[i:j]) for w, i, j in zip(own, cuts, cuts[1:]))
+        """The ids of new pieces. Those that the pattern takes for one word each are merged many at once."""
+        found: dict[str, bytes] = {}
+        if self.merger is not None:
+            words = [p for p in pieces if self.word.fullmatch(p)]
+            if self.lower:
+                lowered = [w.lower() for w in words]
+                own = self.merger.encode(list(set(lowered)), self.dtype)
+                found = {w: own[x] for w, x in zip(words, lowered) if x in own}
+            else:
+                found = self.merger.encode(words, self.dtype)
+        others = list(pieces.difference(found))
+        found.update(zip(others, self._library_ids(others)))
         return found
 
     def _library_ids(self, texts: list[str]) -> list[bytes]:
