@@ -32,17 +32,26 @@ SHARD_TOKENS = 1 << 20
 MAX_CLASSES, QUANTILES = 256, 1 << 16
 #: Bytes of ids that one task packs.
 TASK_BYTES = 64 << 20
+#: Rows whose texts and ids an encoding task holds at once, of the batch that it is given.
+ROWS = 1024
 #: A source is served once its deficit reaches so many tokens, which keeps pieces from being cut too small.
 LEAST_PIECE = 128
 
 
+def row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, at most ROWS at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def encode_documents(docs: DataFrame, path: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A table of doc_id, source, ids (little-endian unsigned 32-bit), n_tokens and a hash that deals rows to shards."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         end = b"" if end_id is None else np.asarray([end_id], encoder.dtype).tobytes()
-        for batch in batches:
+        for batch in row_slices(batches):
             ids = [x + end for x in encoder.encode(texts_of(batch.column(2)))]
             counts = pa.array([len(x) // encoder.dtype.itemsize for x in ids], pa.int64())
             widths = pa.array([encoder.dtype.itemsize] * len(ids), pa.int32())

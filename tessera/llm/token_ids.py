@@ -17,11 +17,11 @@ from tessera.llm.common import release_memory
 from tessera.llm.merges import WordMerger
 
 #: Most pieces whose ids a worker keeps; further ones are encoded once for each run of texts.
-MAX_KEPT = 800_000
+MAX_KEPT = 250_000
 #: Seconds without a text after which a worker, which Spark keeps for other work, drops its kept pieces.
 IDLE_SECONDS = 20.0
 #: Characters of text whose pieces are held at once; a longer text is on its own.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Unicode white space, as a character class.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters that both libraries know, and ASCII marks without the apostrophe, which starts contractions. Either
